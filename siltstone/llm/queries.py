@@ -2,23 +2,73 @@
 
 from __future__ import annotations
 
-from siltstone.llm import packing, sharding, token_files, tokens
+from pyspark.sql import functions as F
+
+from siltstone.llm import decontaminate, langid, licenses, merkle, ngram_join, packing, rules, sharding, token_files, tokens, toxicity
 from siltstone.llm.common import scratch_path, table
 
 
+def replica_of(pages):
+    """A damaged replica of pages, by rule: of page_id modulo 97, 5 has a byte more, 11 is lost, 17 is stored twice."""
+    m = F.pmod(F.col("page_id"), F.lit(97))
+    bad = pages.withColumn("html", F.when(m == 5, F.concat(F.coalesce("html", F.lit("")), F.lit("#"))).otherwise(F.col("html")))
+    return bad.where(F.coalesce(m != 11, F.lit(True))).withColumn("copies", F.when(m == 17, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).withColumn("copies", F.explode("copies")).drop("copies")
+
+
+def op1_merkle_audit(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    found = merkle.audit(pages, replica_of(pages), "page_id", ["url", "html"])
+    return found.select(F.col("key").alias("page_id"), "slot", "status", "n_primary", "n_replica")
+
+
 def op2_lpt_shards(spark, sf_dir):
     return sharding.lpt_shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op3_decontaminate(spark, sf_dir):
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h").distinct()
+
+
 def op4_token_files(spark, sf_dir):
     path = scratch_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokens.default_path(), end_id=2)
     return token_files.token_digests(spark, path)
 
 
+def op5_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return rules.apply_rules(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_ngram_jaccard(spark, sf_dir):
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), 4096, 1)
 
 
-QUERIES = {f.__name__: f for f in (op2_lpt_shards, op4_token_files, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_merkle_audit, op2_lpt_shards, op3_decontaminate, op4_token_files, op5_license_scan, op6_quality_rules, op7_ngram_jaccard, op8_language_id, op9_toxicity, op10_best_fit_packing)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_merkle_audit": """
+    SELECT page_id, CAST(floor(page_id / 64.0) AS BIGINT) AS slot,
+      CASE page_id % 97 WHEN 5 THEN 'corrupt' WHEN 11 THEN 'missing' ELSE 'extra' END AS status,
+      CAST(count(*) AS BIGINT) AS n_primary,
+      CAST(CASE page_id % 97 WHEN 5 THEN count(*) WHEN 11 THEN 0 ELSE 2 * count(*) END AS BIGINT) AS n_replica
+    FROM pages WHERE page_id % 97 IN (5, 11, 17) GROUP BY page_id""",
+}
