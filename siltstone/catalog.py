@@ -1,35 +1,6 @@
-"""Queries over the driver's tables and their SQL, one entry for each operator of the engine."""
+"""All queries of the engine, one or more for each operator family."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-
-def _read(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-@query(
-    "agg_pricing_summary",
-    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
-    count(*) AS n_rows FROM lineitem GROUP BY l_returnflag, l_linestatus""",
-)
-def _pricing(spark, d):
-    t = _read(spark, d, "lineitem")
-    return t.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n_rows")
-    )
+from siltstone.plans import aggregates, evaluation, graphs, quality, relational, retrieval, scalars, streams  # noqa: F401
+from siltstone.registry import ORACLE_SQL, QUERIES  # noqa: F401
