@@ -6,9 +6,9 @@ are divided: the n - ceil(tn) + 1 rarest are the short ones, the rest the long o
 a pair whose count cannot reach T even if it met in every long list is dropped; the long lists of the others
 are probed by binary search in the partner's sorted set. Equal sets are one class from the start.
 
-A group of m copies with small edits would give m^2 pairs. So the first round checks each list's members only
-against the list's pivot; classes that this links need no pair among themselves. The second round takes the
-pairs of each list whose ends are still in different components, so that no link between components is lost.
+A group of m copies with small edits would give m^2 pairs. So the first rounds check each list's members only
+against the list's most central classes; classes that this links need no pair among themselves. The last round takes
+the pairs of each list whose ends are still in different components, so that no link between components is lost.
 
 Rare comes first by a table of at most HEAVY frequent shingles from counts over all documents; the order need
 only be the same for all sets, so that the bound costs no result. Lists of frequent shingles are salted.
@@ -17,6 +17,7 @@ only be the same for all sets, so that the bound costs no result. Lists of frequ
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -27,6 +28,10 @@ from siltstone.llm.components import components
 HEAVY = 400_000
 #: Shingles counted together in a task before counts of LOCAL or more are emitted.
 COUNTED, LOCAL = 4_000_000, 4
+#: Rounds against a list's central classes after the first.
+STARS = 2
+#: Postings of a block of the last round.
+BLOCK_ROWS = 100_000
 #: Members of a list of a frequent shingle that share a salt, about.
 SALTED = 5_000
 
@@ -150,6 +155,56 @@ def _probe(percent: int):
     return run
 
 
+def _merge_lists(percent: int):
+    """T-occurrence search in one block pair: each class's short lists are merged, and partners met often enough stay."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = int(pdf["left"].iloc[0]), int(pdf["right"].iloc[0])
+        names, which = np.unique(pdf["print"].to_numpy(), return_inverse=True)
+        lists, at = np.unique(pdf["shingle"].to_numpy(), return_inverse=True)
+        n, root, block = (np.zeros(len(names), np.int64) for _ in range(3))
+        n[which], root[which], block[which] = pdf["n"], pdf["root"], pdf["block"]
+        order = np.argsort(at, kind="stable")
+        members, list_start = which[order], np.searchsorted(at[order], np.arange(len(lists) + 1))
+        own = np.argsort(which, kind="stable")
+        of, own_start = at[own], np.searchsorted(which[own], np.arange(len(names) + 1))
+        long_lists = -(-percent * n // 100) - 1
+        out_a, out_b = [], []
+        for i in np.flatnonzero(block == left).tolist():
+            short = of[own_start[i] : own_start[i + 1]]
+            met = np.bincount(np.concatenate([members[list_start[x] : list_start[x + 1]] for x in short.tolist()]), minlength=len(names))
+            j = np.flatnonzero(met)
+            # within one block each pair once, between two blocks from the left one
+            j = j[(j > i) if left == right else (block[j] == right)]
+            need = -(-percent * (n[i] + n[j]) // (100 + percent))
+            fits = (root[j] != root[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (met[j] >= need - np.maximum(long_lists[i], long_lists[j]))
+            out_a.append(np.full(int(fits.sum()), names[i]))
+            out_b.append(names[j[fits]])
+        a, b = np.concatenate(out_a or [np.zeros(0, np.int64)]), np.concatenate(out_b or [np.zeros(0, np.int64)])
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _block_search(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that may link, from the lists that hold several components.
+
+    Classes that share lists, directly or through others, are one neighbourhood; all lists of a pair are in one. Small
+    neighbourhoods share a task of about BLOCK_ROWS postings; a large one is cut into blocks of classes, and every two
+    blocks meet in a task of their own, so that no task holds more than about two blocks.
+    """
+    edges = mixed.select(F.col("print").alias("a"), F.min("print").over(Window.partitionBy("shingle")).alias("b"))
+    near = components(edges).withColumnRenamed("node", "print").withColumnRenamed("root", "near")
+    placed = mixed.select("shingle", "print", "n", "root").join(near, "print")
+    sizes = placed.groupBy("near").agg(F.count(F.lit(1)).alias("rows"))
+    tasks = F.greatest(F.ceil(F.lit(max(placed.count(), 1)) / BLOCK_ROWS), F.lit(1))
+    placed = placed.join(sizes, "near").withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("print"), "blocks")).withColumn("task", F.when(F.col("blocks") > 1, F.col("near")).otherwise(F.pmod(F.xxhash64("near"), tasks)))
+    ends = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right")))
+    dealt = placed.select("task", "blocks", "shingle", "print", "n", "root", "block", F.explode(ends).alias("e")).select("task", "blocks", "e.left", "e.right", "shingle", "print", "n", "root", "block")
+    return dealt.groupBy("task", "blocks", "left", "right").applyInPandas(_merge_lists(percent), "a long, b long")
+
+
 def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and print for every row of docs.
 
@@ -169,18 +224,27 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, column: s
 
     postings = docs.mapInArrow(_prefixes(k, percent, heavy), "shingle long, salt int, print long, n int, place int")
     by_list = Window.partitionBy("shingle", "salt")
-    pivot = F.min(F.struct(F.xxhash64("print").alias("h"), "print", "n")).over(by_list)
     # lists of one class end here: most do
-    lists = postings.select("*", pivot.alias("pivot"), F.max("print").over(by_list).alias("high"), F.min("print").over(by_list).alias("low")).where("high <> low or salt > 0")
-    lists = materialize(lists.select("shingle", "salt", "print", "n", "place", F.col("pivot.print").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "lists")
+    lists = postings.select("*", F.max("print").over(by_list).alias("high"), F.min("print").over(by_list).alias("low")).where("high <> low or salt > 0").drop("high", "low")
+    lists = materialize(lists, "lists")
+    # a class is central if most of its short lists are shared: the text that others were edited from comes first
+    shared = lists.groupBy("print").agg((F.count(F.lit(1)) / (F.max("n") - F.ceil(F.lit(percent) * F.max("n") / 100) + 1)).alias("central"))
+    lists = materialize(lists.join(shared, "print"), "lists")
     alike = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = lists.where(F.col("print") != F.col("pivot")).where(alike(F.col("n"), F.col("pivot_n"))).select(*ordered(F.col("print"), F.col("pivot")))
-    # pivots of one salted list meet as a list of their own
-    tops = lists.where("print = pivot").select("shingle", "print", "n").distinct()
-    top = F.min(F.struct("print", "n")).over(Window.partitionBy("shingle"))
-    tops = tops.withColumn("top", top).where(F.col("print") != F.col("top.print")).where(alike(F.col("n"), F.col("top.n"))).select(*ordered(F.col("print"), F.col("top.print")))
-    first = materialize(stars.union(tops).distinct(), "pairs")
+
+    def stars(placed: DataFrame, keys: list[str], skip: int) -> DataFrame:
+        """Pairs of each list's members with its most central class, or with the next one of another component, `skip` times."""
+        w = Window.partitionBy(*keys)
+        one = F.struct("central", F.xxhash64("print").alias("h"), "print", "n", "root")
+        tops = placed.withColumn("c0", F.max(one).over(w))
+        for i in range(1, skip + 1):
+            fresh = F.col("root") != F.col("c0.root")
+            for j in range(1, i):
+                fresh = fresh & F.coalesce(F.col("root") != F.col(f"c{j}.root"), F.lit(True))
+            tops = tops.withColumn(f"c{i}", F.max(F.when(fresh, one)).over(w))
+        top = F.col(f"c{skip}")
+        pairs = tops.where(top.isNotNull() & (F.col("root") != top["root"]) & alike(F.col("n"), top["n"]))
+        return pairs.select(F.least(F.col("print"), top["print"]).alias("a"), F.greatest(F.col("print"), top["print"]).alias("b"))
 
     ids = rows.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("least"))
 
@@ -194,19 +258,29 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, column: s
         right = own.select(F.col("print").alias("b"), F.col("members").alias("right"))
         return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_probe(percent), "a long, b long")
 
+    def place(roots: DataFrame) -> DataFrame:
+        """Lists that still hold several components."""
+        placed = lists.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+        ends = Window.partitionBy("shingle")
+        return materialize(placed.withColumn("r0", F.min("root").over(ends)).withColumn("r1", F.max("root").over(ends)).where("r0 <> r1").drop("r0", "r1"), "mixed")
+
+    alone = lists.withColumn("root", F.col("print"))
+    # parts of a salted list meet through their most central classes
+    w = Window.partitionBy("shingle", "salt")
+    heads = alone.where("salt > 0 or shingle is null").select("shingle").distinct()
+    leads = alone.join(heads, "shingle", "left_semi").withColumn("c", F.max(F.struct("central", F.xxhash64("print").alias("h"), "print")).over(w)).where("print = c.print").drop("c")
+    first = materialize(stars(alone, ["shingle", "salt"], 0).union(stars(leads, ["shingle"], 0)).distinct(), "pairs")
     links = materialize(linked(first), "links")
     roots = components(links)
-    placed = lists.select("shingle", "print", "n", "place").join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    ends = Window.partitionBy("shingle")
-    mixed = materialize(placed.select("*", F.min("root").over(ends).alias("r0"), F.max("root").over(ends).alias("r1")).where("r0 <> r1").drop("r0", "r1"), "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    met = x.join(y, F.expr(f"x.shingle = y.shingle and x.root <> y.root and x.print < y.print and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    need = f"ceil({percent} * (x.n + y.n) / {100 + percent}.0)"
-    met = met.where(F.expr(f"1 + least(x.n - x.place, y.n - y.place) - 1 >= {need} - least(x.place, y.place)"))
-    long_lists = f"(ceil({percent} * greatest(x.n, y.n) / 100.0) - 1)"
-    counted = met.select(F.col("x.print").alias("a"), F.col("y.print").alias("b"), F.expr(f"cast({need} - {long_lists} as int)").alias("least"))
-    second = counted.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.first("least").alias("least")).where("met >= least").select("a", "b")
-    second = materialize(second, "pairs")
+    mixed = place(roots)
+    for skip in range(STARS):
+        more = materialize(stars(mixed, ["shingle", "salt"], skip).distinct().join(links, ["a", "b"], "left_anti"), "pairs")
+        new = materialize(linked(more), "links")
+        if not new.isEmpty():
+            links = materialize(links.union(new), "links")
+            roots = components(links)
+            mixed = place(roots)
+    second = materialize(_block_search(mixed, percent).join(links, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         links = links.union(materialize(linked(second), "links"))
         roots = components(links)
