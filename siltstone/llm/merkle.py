@@ -27,20 +27,26 @@ def manifest(records: DataFrame, key: str, content: list[str], span: int = 64) -
     return records.select(F.col(key).alias("key"), slot.alias("slot"), digest.alias("digest")).select("key", "slot", "digest", *lanes)
 
 
-def tree(leaves: DataFrame, name: str) -> list[DataFrame]:
-    """Levels from the ranges up to the root, each (node, hash); every level is at most one FANOUT-th of the one below."""
-    sums = leaves.groupBy(F.col("slot").alias("node")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"l{i}").alias(f"l{i}") for i in range(4)])
-    level = materialize(sums.select("node", F.sha2(F.concat_ws(",", "n", "l0", "l1", "l2", "l3"), 256).alias("hash")), name)
-    out = [level]
-    ends = level.agg(F.min("node"), F.max("node")).first()
-    low, high = (ends[0], ends[1]) if ends[0] is not None else (0, 0)
+def _parents(low: int, high: int) -> list[Column]:
+    """The parent of a node at each level below the root of the nodes low to high; below and above zero meet at the root."""
+    out = []
     while low != high:
+        if (low, high) == (-1, 0):
+            out.append(F.lit(0).cast("long"))
+            break
         low, high = low // FANOUT, high // FANOUT
-        parent = F.floor(F.col("node") / F.lit(FANOUT)).cast("long")
+        out.append(F.floor(F.col("node") / F.lit(FANOUT)).cast("long"))
+    return out
+
+
+def tree(leaves: DataFrame, parents: list[Column], name: str) -> list[DataFrame]:
+    """Levels from the ranges up to the root, each (node, hash); a level is about one FANOUT-th of the one below."""
+    sums = leaves.groupBy(F.col("slot").alias("node")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"l{i}").alias(f"l{i}") for i in range(4)])
+    out = [materialize(sums.select("node", F.sha2(F.concat_ws(",", "n", "l0", "l1", "l2", "l3"), 256).alias("hash")), name)]
+    for parent in parents:
         # FANOUT children at most are gathered for a node
-        level = level.groupBy(parent.alias("node")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("c"))
-        level = materialize(level.select("node", F.sha2(F.to_json("c"), 256).alias("hash")), name)
-        out.append(level)
+        level = out[-1].groupBy(parent.alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("c"))
+        out.append(materialize(level.select(F.col("up").alias("node"), F.sha2(F.to_json("c"), 256).alias("hash")), name))
     return out
 
 
@@ -51,22 +57,17 @@ def audit(primary: DataFrame, replica: DataFrame, key: str, content: list[str],
     are a multiset: repeated rows count; null keys are one key, null content differs from empty content; very long content is
     hashed whole; empty replicas and equal roots give no rows; columns other than key and content are not read.
     """
-    sides = {}
-    for name, records in (("primary", primary), ("replica", replica)):
-        rows = materialize(manifest(records, key, content, span), f"manifest-{name}")
-        sides[name] = (rows, tree(rows, f"tree-{name}"))
-    (a, ta), (b, tb) = sides["primary"], sides["replica"]
-    # trees of other heights share no root: the lower one is raised by single-child nodes
-    while len(ta) != len(tb):
-        short = ta if len(ta) < len(tb) else tb
-        top = short[-1]
-        short.append(materialize(top.groupBy(F.floor(F.col("node") / F.lit(FANOUT)).cast("long").alias("node")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("c")).select("node", F.sha2(F.to_json("c"), 256).alias("hash")), "tree-top"))
+    a = materialize(manifest(primary, key, content, span), "manifest-primary")
+    b = materialize(manifest(replica, key, content, span), "manifest-replica")
+    low, high = a.select("slot").union(b.select("slot")).agg(F.min("slot"), F.max("slot")).first()
+    parents = _parents(low or 0, high or 0)
+    ta, tb = tree(a, parents, "tree-primary"), tree(b, parents, "tree-replica")
     bad = None
-    for x, y in zip(ta[::-1], tb[::-1]):
+    for x, y, parent in zip(ta[::-1], tb[::-1], [None, *parents[::-1]]):
         if bad is not None:
-            parent = F.floor(F.col("node") / F.lit(FANOUT)).cast("long")
-            x = x.withColumn("parent", parent).join(bad.withColumnRenamed("node", "parent"), "parent", "left_semi").drop("parent")
-            y = y.withColumn("parent", parent).join(bad.withColumnRenamed("node", "parent"), "parent", "left_semi").drop("parent")
+            below = bad.withColumnRenamed("node", "parent")
+            x = x.withColumn("parent", parent).join(below, "parent", "left_semi").drop("parent")
+            y = y.withColumn("parent", parent).join(below, "parent", "left_semi").drop("parent")
         both = x.join(y.withColumnRenamed("hash", "other"), "node", "full_outer")
         bad = materialize(both.where(~F.col("hash").eqNullSafe(F.col("other"))).select("node"), "mismatch")
     slots = bad.withColumnRenamed("node", "slot")
