@@ -47,39 +47,35 @@ def normal_bytes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def suffix_automaton(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(class of each byte value, transitions[state, class] with -1 for none) of all substrings of data."""
-    link, length, moves = [-1], [0], [{}]
+    used = sorted(set(data))
+    kinds = np.full(256, len(used), np.int32)
+    kinds[used] = np.arange(len(used))
+    moves = np.full((2 * len(data) + 1, len(used) + 1), -1, np.int32)
+    link, length = [-1], [0]
     last = 0
-    for c in data:
-        cur = len(moves)
-        moves.append({})
+    for c in kinds[np.frombuffer(data, np.uint8)].tolist():
+        cur = len(link)
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p != -1 and c not in moves[p]:
-            moves[p][c] = cur
+        while p != -1 and moves[p, c] < 0:
+            moves[p, c] = cur
             p = link[p]
         if p != -1:
-            q = moves[p][c]
+            q = int(moves[p, c])
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                twin = len(moves)
-                moves.append(dict(moves[q]))
+                twin = len(link)
+                moves[twin] = moves[q]
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p != -1 and moves[p].get(c) == q:
-                    moves[p][c] = twin
+                while p != -1 and moves[p, c] == q:
+                    moves[p, c] = twin
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    used = sorted(set(data))
-    kinds = np.full(256, len(used), np.int32)
-    kinds[used] = np.arange(len(used))
-    table = np.full((len(moves), len(used) + 1), -1, np.int32)
-    for s, m in enumerate(moves):
-        for c, t in m.items():
-            table[s, kinds[c]] = t
-    return kinds, table
+    return kinds, moves[: len(link)].copy()
 
 
 def phrases(raw: np.ndarray, bounds: np.ndarray, automaton: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from siltstone.llm.common import distinct_in, lower_ascii, shingle_hashes, slices, span_hashes, text_bytes, word_spans
+from siltstone.llm.common import distinct_in, lower_ascii, materialize, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 from siltstone.llm.langid import held_out
 
 #: The bounded sample of labelled rows: most rows of either label, those of the smallest id hashes.
@@ -144,21 +144,40 @@ def hits(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
     return out
 
 
-def calibrated(terms: list[tuple[bytes, bool]], clean: pa.Array) -> Lexicon:
+def _seen_terms(lexicon: Lexicon):
+    """Number of each term that a clean text misspells, once for each text."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                clean = part.filter(pa.compute.equal(part.column("toxic"), 0))
+                seen = sorted({(d, term) for d, distance, term, _ in found(clean.column("text"), lexicon) if distance})
+                yield pa.RecordBatch.from_arrays([pa.array([t for _, t in seen], pa.int64())], ["term"])
+
+    return run
+
+
+def calibrated(terms: list[tuple[bytes, bool]], sample: DataFrame, n_clean: int) -> Lexicon:
     """The lexicon with each term's edits lowered until its misspellings are rare in clean sample texts."""
     edits = [allowed(t) for t, _ in terms]
-    for _ in range(3):
+    while True:
         lexicon = Lexicon([(t, s, d) for (t, s), d in zip(terms, edits)])
-        seen: dict[int, set[int]] = {}
-        for d, distance, term, _ in found(clean, lexicon):
-            if distance:
-                seen.setdefault(term, set()).add(d)
-        many = [t for t, docs in seen.items() if len(docs) > max(1, 0.001 * len(clean))]
+        seen = sample.mapInArrow(_seen_terms(lexicon), "term long").groupBy("term").count().collect()  # TERMS rows at most
+        many = [r["term"] for r in seen if r["count"] > max(1, 0.001 * n_clean)]
         if not many:
             return lexicon
         for t in many:
             edits[t] -= 1
-    return Lexicon([(t, s, min(d, 0)) if t in {terms[i][0] for i in many} else (t, s, d) for (t, s), d in zip(terms, edits)])
+
+
+def _hit_rows(lexicon: Lexicon):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                x = hits(part.column("text"), lexicon)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), part.column("toxic")], ["exact", "near", "toxic"])
+
+    return run
 
 
 def _terms(batches):
@@ -252,18 +271,17 @@ def fit(docs: DataFrame, labels: DataFrame, modulo: int = 5, out: int = 0) -> Mo
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(picked, "doc_id")
     # one row for each group of near copies, so that a copied text's words are not taken for terms
     marked = sample.mapInArrow(_marks, "doc_id long, text string, toxic int, mark long").dropDuplicates(["mark", "toxic"])
-    frame = marked.select("text", "toxic").repartition(8)
-    texts = frame.toPandas()  # 2 * SAMPLE_ROWS texts at most
-    n_toxic = int(texts["toxic"].sum()) if len(texts) else 0
-    spark = docs.sparkSession
-    if not n_toxic or n_toxic == len(texts):
+    # the sample is written once; its texts stay off the driver
+    frame = materialize(marked.select("text", "toxic").repartition(8), "toxic-sample")
+    n = {r["toxic"]: r["count"] for r in frame.groupBy("toxic").count().collect()}
+    n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
+    if not n_toxic or not n_clean:
         return Model(Lexicon([]), np.array([-3.0, 0.0, 0.0]))
     terms = frame.mapInArrow(_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    rows = terms.where(F.col("toxic") >= max(4, LEAST_SHARE * n_toxic)).where(F.col("toxic") / n_toxic > 20 * (F.col("clean") + 0.5) / (len(texts) - n_toxic)).collect()
-    terms_ = choose_terms([(r.term, r.clean, r.toxic) for r in rows], len(texts) - n_toxic, n_toxic)
-    lexicon = calibrated(terms_, pa.array(texts["text"][texts["toxic"] == 0], pa.string()))
-    x = hits(pa.array(texts["text"], pa.string()), lexicon)
-    weights = _logistic(_strength(x), texts["toxic"].to_numpy(float))
+    rows = terms.where(F.col("toxic") >= max(4, LEAST_SHARE * n_toxic)).where(F.col("toxic") / n_toxic > 20 * (F.col("clean") + 0.5) / n_clean).collect()
+    lexicon = calibrated(choose_terms([(r.term, r.clean, r.toxic) for r in rows], n_clean, n_toxic), frame, n_clean)
+    x = frame.mapInArrow(_hit_rows(lexicon), "exact double, near double, toxic int").orderBy("toxic", "exact", "near").toPandas()  # three numbers a sample row
+    weights = _logistic(_strength(x[["exact", "near"]].to_numpy()), x["toxic"].to_numpy(float))
     # a misspelling that calibration left in is nearly as telling as the term itself
     weights[2] = max(weights[2], 0.9 * weights[1])
     return Model(lexicon, weights)
