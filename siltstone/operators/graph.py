@@ -54,3 +54,39 @@ def triangles(edges: DataFrame) -> DataFrame:
     wedge = up.alias("p").join(up.alias("q"), F.expr("p.x = q.x and p.y < q.y")).select(F.col("p.x").alias("x"), F.col("p.y").alias("a"), F.col("q.y").alias("b"))
     closed = wedge.join(ends, ["a", "b"])
     return closed.select(F.explode(F.array("x", "a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
+
+
+def _labels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("node", "other").where("node <> other").distinct()
+    return both, both.select("node").distinct()
+
+
+def connected(edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """node, root: the smallest node reachable. Labels jump to their root's label in each round, so that rounds are few."""
+    both, nodes = _labels(edges)
+    labels = nodes.withColumn("root", F.col("node"))
+    total = None
+    for i in range(rounds):
+        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("low"))
+        step = labels.join(near, "node").select("node", F.least("root", "low").alias("root"))
+        jump = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        labels = step.join(jump, "root").select("node", F.col("top").alias("root"))
+        if i % 3 == 2:
+            labels = _cut(labels)
+            now = labels.agg(F.sum(F.xxhash64("node", "root").cast("decimal(20,0)"))).first()[0]
+            if now == total:
+                return labels
+            total = now
+    return labels
+
+
+def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
+    """node, community: each round takes the commonest label around, ties to the smallest."""
+    both, nodes = _labels(edges)
+    labels = nodes.withColumn("community", F.col("node"))
+    for i in range(rounds):
+        votes = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "community").agg(F.count(F.lit(1)).alias("n"))
+        labels = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community"))
+        if i % 3 == 2:
+            labels = _cut(labels)
+    return labels
