@@ -30,8 +30,8 @@ HEAVY = 400_000
 COUNTED, LOCAL = 4_000_000, 4
 #: Rounds against a list's central classes after the first.
 STARS = 2
-#: Postings of a block of the last round.
-BLOCK_ROWS = 100_000
+#: Postings of a block of the last round; a task holds two (about 350 MB of Python memory).
+BLOCK_ROWS = 400_000
 #: Members of a list of a frequent shingle that share a salt, about.
 SALTED = 5_000
 
