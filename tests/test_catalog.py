@@ -1,13 +1,14 @@
 """Every query of the catalogue against its SQL in another engine; queries without SQL must run and be stable in schema."""
 
 import math
+import os
 
 import duckdb
 import pytest
 
 from siltstone import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("CATALOG_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
