@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,7 +38,23 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more, and the shuffle files of finished jobs.
+
+    Spark drops a shuffle's files once the driver has collected the plan that made it; this collects now. Only call it
+    when all that was made from the tables has been materialized itself.
+    """
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(hadoop).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 # -- texts of an Arrow batch as one byte array ---------------------------------------------

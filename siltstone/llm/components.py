@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from siltstone.llm.common import materialize
+from siltstone.llm.common import materialize, release
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(rounds):
-        edges = materialize(star(star(edges, True), False), "edges")
+        old, edges = edges, materialize(star(star(edges, True), False), "edges")
+        release(edges.sparkSession, old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break

@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from siltstone.llm.common import distinct_in, lower_ascii, materialize, mix, shingle_hashes, slices, span_hashes, text_bytes, word_spans
+from siltstone.llm.common import distinct_in, lower_ascii, materialize, mix, release, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 from siltstone.llm.components import components
 
 #: Frequent shingles that are sent to executors, 16 bytes each.
@@ -229,7 +229,8 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, column: s
     lists = materialize(lists, "lists")
     # a class is central if most of its short lists are shared: the text that others were edited from comes first
     shared = lists.groupBy("print").agg((F.count(F.lit(1)) / (F.max("n") - F.ceil(F.lit(percent) * F.max("n") / 100) + 1)).alias("central"))
-    lists = materialize(lists.join(shared, "print"), "lists")
+    bare, lists = lists, materialize(lists.join(shared, "print"), "lists")
+    release(spark, bare)
     alike = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
 
     def stars(placed: DataFrame, keys: list[str], skip: int) -> DataFrame:
@@ -249,6 +250,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, column: s
     ids = rows.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("least"))
 
     def linked(pairs: DataFrame) -> DataFrame:
+        """Those of a materialized table of pairs that are similar; the table is released."""
         wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "print")
         some = wanted.join(ids, "print").select("print", F.col("least").alias("doc_id"))
         here = docs.join(some.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(some["doc_id"]), "left_semi")
@@ -256,7 +258,10 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, column: s
         own = materialize(own, "sets")
         left = own.select(F.col("print").alias("a"), F.col("members").alias("left"))
         right = own.select(F.col("print").alias("b"), F.col("members").alias("right"))
-        return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_probe(percent), "a long, b long")
+        both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
+        found = materialize(both.mapInArrow(_probe(percent), "a long, b long"), "links")
+        release(spark, own, pairs)
+        return found
 
     def place(roots: DataFrame) -> DataFrame:
         """Lists that still hold several components."""
@@ -270,19 +275,22 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, column: s
     heads = alone.where("salt > 0 or shingle is null").select("shingle").distinct()
     leads = alone.join(heads, "shingle", "left_semi").withColumn("c", F.max(F.struct("central", F.xxhash64("print").alias("h"), "print")).over(w)).where("print = c.print").drop("c")
     first = materialize(stars(alone, ["shingle", "salt"], 0).union(stars(leads, ["shingle"], 0)).distinct(), "pairs")
-    links = materialize(linked(first), "links")
+    links = linked(first)
     roots = components(links)
     mixed = place(roots)
     for skip in range(STARS):
         more = materialize(stars(mixed, ["shingle", "salt"], skip).distinct().join(links, ["a", "b"], "left_anti"), "pairs")
-        new = materialize(linked(more), "links")
+        new = linked(more)
         if not new.isEmpty():
-            links = materialize(links.union(new), "links")
+            old, links = links, materialize(links.union(new), "links")
             roots = components(links)
-            mixed = place(roots)
+            stale, mixed = mixed, place(roots)
+            release(spark, old, new, stale)
+    release(spark, lists)
     second = materialize(_block_search(mixed, percent).join(links, ["a", "b"], "left_anti"), "pairs")
+    release(spark, mixed)
     if not second.isEmpty():
-        links = links.union(materialize(linked(second), "links"))
+        links = links.union(linked(second))
         roots = components(links)
     groups = ids.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", F.coalesce("root", "print").alias("root"), "least")
     named = groups.join(groups.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
