@@ -8,7 +8,8 @@ are probed by binary search in the partner's sorted set. Equal sets are one clas
 
 A group of m copies with small edits would give m^2 pairs. So the first rounds check each list's members only
 against the list's most central classes; classes that this links need no pair among themselves. The last round takes
-the pairs of each list whose ends are still in different components, so that no link between components is lost.
+the pairs of each list whose ends are still in different components, by bands of set sizes, so that no link between
+components is lost.
 
 Rare comes first by a table of at most HEAVY frequent shingles from counts over all documents; the order need
 only be the same for all sets, so that the bound costs no result. Lists of frequent shingles are salted.
@@ -16,6 +17,8 @@ only be the same for all sets, so that the bound costs no result. Lists of frequ
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -160,10 +163,10 @@ def _merge_lists(percent: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = int(pdf["left"].iloc[0]), int(pdf["right"].iloc[0])
-        names, which = np.unique(pdf["print"].to_numpy(), return_inverse=True)
-        lists, at = np.unique(pdf["shingle"].to_numpy(), return_inverse=True)
-        n, root, block = (np.zeros(len(names), np.int64) for _ in range(3))
-        n[which], root[which], block[which] = pdf["n"], pdf["root"], pdf["block"]
+        names, first, which = np.unique(pdf["node"].to_numpy(), return_index=True, return_inverse=True)
+        lists, at = np.unique(pdf["list"].to_numpy(), return_inverse=True)
+        n, root, block, mask = (pdf[c].to_numpy(np.int64)[first] for c in ("n", "root", "block", "mask"))
+        home, names = pdf["home"].to_numpy(bool)[first], names ^ mask
         order = np.argsort(at, kind="stable")
         members, list_start = which[order], np.searchsorted(at[order], np.arange(len(lists) + 1))
         own = np.argsort(which, kind="stable")
@@ -177,7 +180,7 @@ def _merge_lists(percent: int):
             # within one block each pair once, between two blocks from the left one
             j = j[(j > i) if left == right else (block[j] == right)]
             need = -(-percent * (n[i] + n[j]) // (100 + percent))
-            fits = (root[j] != root[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (met[j] >= need - np.maximum(long_lists[i], long_lists[j]))
+            fits = (home[i] | home[j]) & (root[j] != root[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (met[j] >= need - np.maximum(long_lists[i], long_lists[j]))
             out_a.append(np.full(int(fits.sum()), names[i]))
             out_b.append(names[j[fits]])
         a, b = np.concatenate(out_a or [np.zeros(0, np.int64)]), np.concatenate(out_b or [np.zeros(0, np.int64)])
@@ -189,19 +192,34 @@ def _merge_lists(percent: int):
 def _block_search(mixed: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components that may link, from the lists that hold several components.
 
-    Classes that share lists, directly or through others, are one neighbourhood; all lists of a pair are in one. Small
-    neighbourhoods share a task of about BLOCK_ROWS postings; a large one is cut into blocks of classes, and every two
-    blocks meet in a task of their own, so that no task holds more than about two blocks.
+    Sizes of a pair differ by a factor of at most 100/percent, so that classes are dealt to size bands of that width: band
+    g holds the classes at home in it and, as guests, those of the next one; lists end where a band's part of them holds
+    one component or no class at home. Within a band, classes that share lists, directly or through others, are one
+    neighbourhood; all lists of a pair are in one. Small neighbourhoods share a task of about BLOCK_ROWS postings; a
+    large one is cut into blocks of classes, and every two blocks meet in a task of their own, so that no task holds more
+    than about two blocks.
     """
-    edges = mixed.select(F.col("print").alias("a"), F.min("print").over(Window.partitionBy("shingle")).alias("b"))
-    near = components(edges).withColumnRenamed("node", "print").withColumnRenamed("root", "near")
-    placed = mixed.select("shingle", "print", "n", "root").join(near, "print")
+    spark = mixed.sparkSession
+    # a little wider than the factor, so that rounding never parts a pair by two bands
+    width = max(math.log(100 / percent), 0.05) * 1.001
+    own = F.floor(F.ln("n") / F.lit(width)).cast("int")
+    banded = mixed.select("shingle", "print", "n", "root", own.alias("own")).withColumn("band", F.explode(F.array("own", F.col("own") - 1)))
+    banded = banded.withColumn("home", F.col("own") == F.col("band")).withColumn("mask", F.xxhash64("band"))
+    ends = Window.partitionBy("shingle", "band")
+    useful = (F.min("root").over(ends) != F.max("root").over(ends)) & F.max("home").over(ends)
+    kept = banded.withColumn("useful", useful).where("useful")
+    kept = kept.select(F.xxhash64("shingle", "band").alias("list"), F.col("print").bitwiseXOR(F.col("mask")).alias("node"), "mask", "n", "root", "home")
+    kept = materialize(kept, "banded")
+    edges = kept.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("list")).alias("b"))
+    near = components(edges).withColumnRenamed("root", "near")
+    placed = materialize(kept.join(near, "node"), "placed")
+    release(spark, kept)
     sizes = placed.groupBy("near").agg(F.count(F.lit(1)).alias("rows"))
     tasks = F.greatest(F.ceil(F.lit(max(placed.count(), 1)) / BLOCK_ROWS), F.lit(1))
     placed = placed.join(sizes, "near").withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("print"), "blocks")).withColumn("task", F.when(F.col("blocks") > 1, F.col("near")).otherwise(F.pmod(F.xxhash64("near"), tasks)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("task", F.when(F.col("blocks") > 1, F.col("near")).otherwise(F.pmod(F.xxhash64("near"), tasks)))
     ends = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right")))
-    dealt = placed.select("task", "blocks", "shingle", "print", "n", "root", "block", F.explode(ends).alias("e")).select("task", "blocks", "e.left", "e.right", "shingle", "print", "n", "root", "block")
+    dealt = placed.select("task", "blocks", "list", "node", "mask", "n", "root", "home", "block", F.explode(ends).alias("e")).select("task", "blocks", "e.left", "e.right", "list", "node", "mask", "n", "root", "home", "block")
     return dealt.groupBy("task", "blocks", "left", "right").applyInPandas(_merge_lists(percent), "a long, b long")
 
 
