@@ -273,12 +273,12 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, column: s
         some = wanted.join(ids, "print").select("print", F.col("least").alias("doc_id"))
         here = docs.join(some.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(some["doc_id"]), "left_semi")
         own = here.mapInArrow(_set_rows(k), "print long, members binary").join(wanted, "print", "left_semi").groupBy("print").agg(F.first("members").alias("members"))
-        own = materialize(own, "sets")
+        # not materialized: both joins read the one shuffle of the sets by print
         left = own.select(F.col("print").alias("a"), F.col("members").alias("left"))
         right = own.select(F.col("print").alias("b"), F.col("members").alias("right"))
         both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
         found = materialize(both.mapInArrow(_probe(percent), "a long, b long"), "links")
-        release(spark, own, pairs)
+        release(spark, pairs)
         return found
 
     def place(roots: DataFrame) -> DataFrame:
