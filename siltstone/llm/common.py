@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -43,7 +44,7 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
+def release(spark: SparkSession, *tables: DataFrame, shuffles: bool = True) -> None:
     """Delete the files of materialized tables that nothing reads any more, and the shuffle files of finished jobs.
 
     Spark drops a shuffle's files once the driver has collected the plan that made it; this collects now. Only call it
@@ -53,8 +54,10 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     for t in tables:
         path = jvm.org.apache.hadoop.fs.Path(t._scratch)
         path.getFileSystem(hadoop).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2 if shuffles else 0):  # what the first pass lets go of the second one finds, once Python's handles are gone
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.2)
 
 
 # -- texts of an Arrow batch as one byte array ---------------------------------------------

@@ -29,11 +29,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     before = None
     for _ in range(rounds):
         old, edges = edges, materialize(star(star(edges, True), False), "edges")
-        release(edges.sparkSession, old)
+        release(edges.sparkSession, old, shuffles=False)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    release(edges.sparkSession)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
