@@ -87,7 +87,7 @@ def _scan(k: int):
 
 
 def _prefixes(k: int, percent: int, heavy):
-    """Postings of the short lists: shingle, salt, print, size, place in the set's order."""
+    """Postings of the short lists: shingle, salt, salts of the shingle, print, size, place in the set's order."""
 
     def run(batches):
         keys, counts = heavy.value
@@ -115,10 +115,11 @@ def _prefixes(k: int, percent: int, heavy):
                 doc, hashes, often, place, size = doc[short], hashes[short], often[short], place[short], size[short]
                 own = prints[doc]
                 salt = (own >> np.uint64(7)).astype(np.int64) & 0x7FFFFFFF
-                salt = salt % (1 + often // SALTED)
+                salts = 1 + often // SALTED
+                salt = salt % salts
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(own.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32))],
-                    ["shingle", "salt", "print", "n", "place"],
+                    [pa.array(hashes.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(salts.astype(np.int32)), pa.array(own.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32))],
+                    ["shingle", "salt", "salts", "print", "n", "place"],
                 )
 
     return run
@@ -240,10 +241,10 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, column: s
     order = np.argsort(keys)
     heavy = spark.sparkContext.broadcast((keys[order], counts[order]))
 
-    postings = docs.mapInArrow(_prefixes(k, percent, heavy), "shingle long, salt int, print long, n int, place int")
+    postings = docs.mapInArrow(_prefixes(k, percent, heavy), "shingle long, salt int, salts int, print long, n int, place int")
     by_list = Window.partitionBy("shingle", "salt")
-    # lists of one class end here: most do
-    lists = postings.select("*", F.max("print").over(by_list).alias("high"), F.min("print").over(by_list).alias("low")).where("high <> low or salt > 0").drop("high", "low")
+    # lists of one class end here: most do; a part of a salted list may meet its other parts
+    lists = postings.select("*", F.max("print").over(by_list).alias("high"), F.min("print").over(by_list).alias("low")).where("high <> low or salts > 1").drop("high", "low", "salts")
     lists = materialize(lists, "lists")
     # a class is central if most of its short lists are shared: the text that others were edited from comes first
     shared = lists.groupBy("print").agg((F.count(F.lit(1)) / (F.max("n") - F.ceil(F.lit(percent) * F.max("n") / 100) + 1)).alias("central"))

@@ -74,6 +74,19 @@ def test_ngram_join_is_exact(spark, monkeypatch, seed, rows):
     assert [got[i].component_id for i in range(len(texts))] == roots
 
 
+def test_ngram_join_of_salted_lists(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SALTED", 2)
+    texts = []
+    for g in range(24):
+        passage = " ".join(f"p{g}x{i}" for i in range(40))
+        # the passage is frequent, but is in the short lists of the two short texts only
+        texts += [f"{passage} {' '.join(f'u{g}x{c}x{i}' for i in range(300))}" for c in range(4)]
+        texts += [f"{passage} left{g}", f"{passage} right{g}"]
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_components(frame(spark, texts)).collect()}
+    _, roots = brute_components(texts)
+    assert [got[i] for i in range(len(texts))] == roots
+
+
 def test_keep_one(spark):
     texts = near_copies(3, groups=2) + ODD
     docs = frame(spark, texts)
