@@ -1,8 +1,9 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
-Licence templates are indexed word by word with positions. A file's licence words of highest IDF (over all files) are
-looked up, their postings meet where word place minus template place agree, and a template found so must show its
-mandatory phrase. Three base phrases are found everywhere besides.
+Licence templates are indexed word by word with positions. For each template whose mandatory phrase a file holds, the
+file's words of it with the highest IDF (over all files) and the phrase's own are looked up, and their postings meet
+where word place minus template place agree. No word is too frequent for it, so that a file's labels do not depend on
+the other files. Three base phrases are found everywhere besides.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ TEMPLATES = [
     ("reserved", "copyright all rights reserved", "all rights reserved"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
-#: Licence words of a file that are looked up, the highest share of files that a rare word may be in, least agreeing words.
-LOOKED_UP, RARE_SHARE, AGREE = 8, 0.05, 2
+#: Rarest words of a template that are looked up besides those of its mandatory phrase, least agreeing words.
+LOOKED_UP, AGREE = 8, 2
 
 VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
 
@@ -59,16 +60,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Null and blank texts have no words, no places and empty labels; without base places first_word and last_word are
     null. A null doc_id is carried; repeated rows get equal answers; texts are read whole; an empty table gives no rows;
-    other columns are not read. score: 1 with a base place, else the share of the looked-up words that agree
-    for the best template, 0 without a label.
+    other columns are not read. score: 1 with a base place, else the share of a template's looked-up words that
+    agree, for the best template, 0 without a label.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("h2"), _plain(F.col("text")).alias("s"))
     # files of each licence word, over all files: at most as many rows as the templates have words
     held = rows.select(F.explode(F.array_intersect(F.split("s", " "), _list(VOCABULARY))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     df = {r["w"]: r["df"] for r in held.collect()}
-    total = max(docs.count(), 1)
-    rare = sorted((n, w) for w, n in df.items() if n <= max(RARE_SHARE * total, 50))
-    order = [w for _, w in rare]  # highest IDF first; ties by word
+    ranked = lambda words: [w for _, w in sorted((df.get(w, 0), w) for w in set(words.split()))]  # highest IDF first; ties by word
 
     n_words = (_spaces(F.col("s")) - 1).alias("n_words")
     base = rows.select("doc_id", "h", "h2", "s", F.greatest(n_words, F.lit(0)).cast("long").alias("n_words"))
@@ -85,20 +84,25 @@ def scan(docs: DataFrame) -> DataFrame:
         (places[0] + places[1] + places[2]).cast("long").alias("n_base"),
         F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"),
         F.array_compact(F.array(*named)).alias("base"),
-        F.slice(F.array_intersect(_list(order) if order else F.array().cast("array<string>"), F.split("s", " ")), 1, LOOKED_UP).alias("looked_up"), "s",
+        F.array_compact(F.array(*[F.when(F.contains("s", F.lit(f" {must} ")), F.lit(t)) for t, (_, _, must) in enumerate(TEMPLATES)])).alias("open"), "s",
     )
-    base = base.withColumn("s", F.when(F.size("looked_up") >= AGREE, F.col("s")))
-    base = materialize(base, "licences")  # texts stay only where rare licence words met
+    base = base.withColumn("s", F.when(F.size("open") > 0, F.col("s")))
+    base = materialize(base, "licences")  # texts stay only where a mandatory phrase stands
 
     spark = docs.sparkSession
-    listed = [(w, t, i, label, must) for t, (label, words, must) in enumerate(TEMPLATES) for i, w in enumerate(words.split())]
-    postings = F.broadcast(spark.createDataFrame(listed, "w string, template int, place int, label string, must string"))  # fixed size
-    found = base.where("s is not null").select("doc_id", "h", "h2", "s", "looked_up", F.posexplode(F.split(F.trim("s"), " ")).alias("at", "w"))
-    found = found.where(F.array_contains("looked_up", F.col("w"))).join(postings, "w").where(F.contains("s", F.concat(F.lit(" "), F.col("must"), F.lit(" "))))
-    met = found.groupBy("doc_id", "h", "h2", "template", "label", (F.col("at") - F.col("place")).alias("shift")).agg(F.countDistinct("w").alias("agree"), F.first(F.size("looked_up")).alias("of"))
+    listed = [(w, t, i, label) for t, (label, words, _) in enumerate(TEMPLATES) for i, w in enumerate(words.split())]
+    postings = F.broadcast(spark.createDataFrame(listed, "w string, template int, place int, label string"))  # fixed size
+    words = F.split(F.trim("s"), " ")
+    # the words looked up for each template that is open
+    asked = [F.array_union(F.slice(F.array_intersect(_list(ranked(t)), words), 1, LOOKED_UP), _list(ranked(must))) for _, t, must in TEMPLATES]
+    some = base.where("s is not null").select("doc_id", "h", "h2", words.alias("words"), F.array(*[F.when(F.array_contains("open", t), c) for t, c in enumerate(asked)]).alias("asked"))
+    some = some.withColumn("every", F.array_distinct(F.flatten(F.array_compact("asked"))))
+    found = some.select("doc_id", "h", "h2", "asked", "every", F.posexplode("words").alias("at", "w")).where(F.array_contains("every", F.col("w")))
+    found = found.join(postings, "w").withColumn("own", F.get("asked", F.col("template"))).where(F.array_contains("own", F.col("w")))
+    met = found.groupBy("doc_id", "h", "h2", "template", "label", (F.col("at") - F.col("place")).alias("shift")).agg(F.countDistinct("w").alias("agree"), F.first(F.size("own")).alias("of"))
     met = met.where(F.col("agree") >= AGREE).groupBy("doc_id", "h", "h2").agg(F.collect_set("label").alias("more"), F.max(F.col("agree") / F.col("of")).alias("share"))
     same = F.expr("x.doc_id <=> y.doc_id and x.h = y.h and x.h2 = y.h2")
-    out = base.drop("s", "looked_up").alias("x").join(met.alias("y"), same, "left")
+    out = base.drop("s", "open").alias("x").join(met.alias("y"), same, "left")
     every = F.array_sort(F.array_distinct(F.concat("x.base", F.coalesce("y.more", F.array().cast("array<string>")))))
     return out.select(
         "x.doc_id", "x.n_words", "x.n_base", "x.first_word", "x.last_word", F.array_join(F.array_sort("x.base"), ",").alias("base_labels"),

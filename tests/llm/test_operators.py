@@ -143,6 +143,19 @@ def test_licenses_base(spark):
     assert "apache-2.0" in got[8].labels and "mit" in got[9].labels and got[11].labels == ""
 
 
+def test_licence_words_in_many_files(spark):
+    texts = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License"] * 60 + ["plain words"] * 120
+    # more licence words than are looked up for one template, and rarer ones
+    texts.append("affero redistribution noncommercial eclipse mozilla lesser artistic unencumbered attribution universal dedication " + texts[0])
+    texts += [f"the license of the apache under version {i}" for i in range(60)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i][0] == ("apache-2.0" if "Apache License" in t else "mit" if "MIT License" in t else ""), t
+        assert (got[i][1] > 0) == (got[i][0] != "")
+    alone = {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame(spark, texts[:2])).collect()}
+    assert alone[0] == got[0]
+
+
 def test_rule_counts_and_learning(spark):
     texts = [r.text for r in table(spark, SF, "documents").select("text").collect()] + ODD + ["x\nx\n\n\nx", "a b c d e a b c d e", "\x0b\n \n", "é é\ré #*"]
     got = {r.doc_id: r for r in rules.apply_rules(frame(spark, texts), []).collect()}
