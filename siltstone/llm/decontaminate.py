@@ -4,7 +4,8 @@ Words of a text become template words: numbers, units after numbers and names (c
 turn into typed placeholders, the rest loses case. Windows of K template words, and of K plain words, are hashed and
 joined with those of the benchmark items. An item is in a document if SHARE of its plain windows are there,
 or SHARE of its template windows with consistent slots: each value of the item stands for one value of the
-document.
+document, in one occurrence at least. An occurrence is what lies at one distance from the item, at about one distance
+(within half the item's length, so that words may be added or left out), or all matches together.
 """
 
 from __future__ import annotations
@@ -86,15 +87,26 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def values(frame: DataFrame, keys: list[str], raw: str) -> DataFrame:
         lined = frame.select(*keys, _raw(F.col("text")).alias("words"), _words(_canonical(F.col("text"))).alias("canon"))
-        at = lined.select(*keys, "words", "canon", F.posexplode(_windows(F.col("canon"), 1)).alias("i", "w"))
+        span = F.size("canon") - K + 1
+        at = lined.select(*keys, "words", "canon", span.alias("span"), F.posexplode(_windows(F.col("canon"), 1)).alias("i", "w"))
         slot = F.transform(F.slice("canon", F.col("i") + 1, K), lambda c, j: F.when(c.isin(NUMBER, UNIT, NAME), F.lower(F.get(F.col("words"), F.col("i") + j))))
-        return at.select(*keys, "w", slot.alias(raw))
+        return at.select(*keys, "w", F.col("i").alias(f"{raw}_at"), "span", solid(F.col("canon"), F.col("i")).alias("solid"), slot.alias(raw))
 
-    pairs = values(again, ["doc_id", "h"], "own").join(hint(values(bench, ["item_id"], "theirs")), "w")
+    pairs = values(again, ["doc_id", "h"], "own").drop("span", "solid").join(hint(values(bench, ["item_id"], "theirs")), "w")
     pairs = pairs.alias("p").join(open_.alias("o"), F.expr("p.doc_id <=> o.doc_id and p.h = o.h and p.item_id = o.item_id"), "left_semi")
-    each = pairs.select("doc_id", "h", "item_id", F.explode(F.arrays_zip("own", "theirs")).alias("z")).where("z.own is not null and z.theirs is not null")
-    mapped = each.groupBy("doc_id", "h", "item_id", F.col("z.theirs").alias("value")).agg(F.countDistinct("z.own").alias("n"))
-    agreed = mapped.groupBy("doc_id", "h", "item_id").agg(F.avg((F.col("n") == 1).cast("double")).alias("agreed"))
+    shift, half = F.col("own_at") - F.col("theirs_at"), F.greatest(F.ceil(F.col("span") / 2), F.lit(1))
+    near = F.floor(shift / half)
+    place = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))
+    # two overlapping places of the item's length: one occurrence's matches are together in one of them
+    places = F.array(place(0, F.lit(0)), place(1, shift), place(2, near), place(2, near - 1))
+    met_at = pairs.select("doc_id", "h", "item_id", "w", "solid", "own", "theirs", F.explode(places).alias("place"))
+    whole = met_at.where("solid").groupBy("doc_id", "h", "item_id", "place").agg(F.countDistinct("w").alias("n")).join(size.where("kind = 'template'"), "item_id")
+    whole = whole.where((F.col("place.kind") == 0) | (F.col("n") / F.col("of") >= SHARE)).select("doc_id", "h", "item_id", "place")
+    each = met_at.select("doc_id", "h", "item_id", "place", F.explode(F.arrays_zip("own", "theirs")).alias("z")).where("z.own is not null and z.theirs is not null")
+    mapped = each.groupBy("doc_id", "h", "item_id", "place", F.col("z.theirs").alias("value")).agg(F.countDistinct("z.own").alias("n"))
+    agreed = mapped.groupBy("doc_id", "h", "item_id", "place").agg(F.avg((F.col("n") == 1).cast("double")).alias("agreed"))
+    agreed = agreed.alias("p").join(whole.alias("o"), F.expr("p.doc_id <=> o.doc_id and p.h = o.h and p.item_id = o.item_id and p.place = o.place"), "left_semi")
+    agreed = agreed.groupBy("doc_id", "h", "item_id").agg(F.max("agreed").alias("agreed"))
     out = best.alias("x").join(agreed.alias("y"), F.expr("x.doc_id <=> y.doc_id and x.h = y.h and x.item_id = y.item_id"), "left")
     consistent = F.col("plain").isNotNull() | (F.coalesce("agreed", F.lit(1.0)) >= SHARE)
     return out.where(consistent).select(

@@ -266,6 +266,26 @@ def test_decontamination(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
 
 
+def test_decontamination_of_repeated_items(spark):
+    item = "A train leaves Paris at 30 km per hour and Alice walks 12 m while the quiet old baker counts seven loaves of fresh bread"
+    variant = lambda *v: item.replace("30", v[0]).replace("Paris", v[1]).replace("12", v[2]).replace("Alice", v[3])
+    one, two = variant("45", "Berlin", "7", "Bob"), variant("80", "Rome", "9", "Eve")
+    added = two.replace("while the quiet", "while just then the quiet")
+    double = "the first box holds 5 red apples and the second box holds 5 green pears today"
+    texts = [
+        f"{one}. {two}.",
+        f"{one} {two} {variant('1', 'Oslo', '2', 'Tom')}",
+        one + " filler words" * 300 + " and so Maria at 99 km per hour and Zoe walks 4 m while the others rest",
+        f"{one} {added}",
+        double.replace("5 red", "6 red").replace("5 green", "7 green"),
+        " ".join(double.replace("5 red", f"{n} red").replace("5 green", f"{n + 1} green") for n in (6, 16)),
+        " ".join(double.replace("5", n) for n in ("6", "16")),
+    ]
+    items = spark.createDataFrame([(1, item), (2, double)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.find(frame(spark, texts), items).collect()}
+    assert got == {(0, 1): "template", (1, 1): "template", (2, 1): "template", (3, 1): "template", (6, 2): "template"}
+
+
 def test_decontamination_against_brute_force(spark):
     docs, bench = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "benchmark")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, bench).collect()}
