@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.llm import decontaminate, langid, ngram_join, packing, tokens, toxicity
 from siltstone.llm.common import materialize, table
 
+#: Near copies: words of a shingle and least Jaccard similarity in percent; op7's query has its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
@@ -17,7 +20,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -304,6 +304,17 @@ def test_decontamination_against_brute_force(spark):
     assert want and got == want
 
 
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline as P
+
+    words = [f"w{i}" for i in range(50)]
+    texts = [" ".join(words), " ".join([*words[:25], "other", *words[26:]]), "quite another text of its own"] + near_copies(5, groups=3)
+    _, roots = brute_components(texts, 5, 80)
+    assert roots[1] == 0 and brute_components(texts)[1][1] == 1
+    kept = P.drop_near_copies(spark, frame(spark, texts), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots))
+
+
 def test_pipeline_against_its_stages(spark):
     import corpus_pipeline as P
 
