@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (single-machine tests) a temporary folder is made and set.
+    Where the session names none and runs on one machine (tests), a temporary folder is made and set; on a cluster that
+    is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="siltstone-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -34,30 +37,48 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of the executions inside go as soon as each ends; for plans that are run once."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write df once to shared storage and read it back, so that lineage ends at files that outlive executors."""
+    """Write df once to shared storage and read it back, so that lineage ends at files that outlive executors.
+
+    The shuffle files of the write go when it has ended.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.options(**options).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
-def release(spark: SparkSession, *tables: DataFrame, shuffles: bool = True) -> None:
-    """Delete the files of materialized tables that nothing reads any more, and the shuffle files of finished jobs.
-
-    Spark drops a shuffle's files once the driver has collected the plan that made it; this collects now. Only call it
-    when all that was made from the tables has been materialized itself.
-    """
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for t in tables:
         path = jvm.org.apache.hadoop.fs.Path(t._scratch)
         path.getFileSystem(hadoop).delete(path, True)
-    for _ in range(2 if shuffles else 0):  # what the first pass lets go of the second one finds, once Python's handles are gone
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(0.2)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the letters' case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 # -- texts of an Arrow batch as one byte array ---------------------------------------------
@@ -101,10 +122,6 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SP
     return starts, ends, counts
 
 
-_R = np.uint64(0x9E3779B97F4A7C15 | 1)
-_RINV = np.uint64(pow(int(_R), -1, 2**64))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers with avalanche (the splitmix64 finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -112,33 +129,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Bytes of a span beyond which BLAKE2b hashes it.
+LONG_SPAN = 256
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
-_BLOCK = 1 << 18
-_POWERS = np.cumprod(np.full(_BLOCK + 1, _R, np.uint64)) * _RINV
-_INVERSES = np.cumprod(np.full(_BLOCK + 1, _RINV, np.uint64)) * _R
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span: eight bytes at a time through a bijection with avalanche, or BLAKE2b for long spans.
 
-
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span (ascending, disjoint), from one rolling sum over the bytes.
-
-    The sum of b[i] * R^i modulo 2^64 between two places, divided by R^start (R is odd and so has an
-    inverse), depends on the span's bytes alone; each byte counts as a random 64-bit value.
+    Each step mixes what came before, so that no texts collide by their arithmetic, as they do under a polynomial modulo
+    2^64. Two seeds give 128 bits.
     """
-    out = np.empty(len(starts), np.uint64)
-    i, n = 0, len(starts)
-    while i < n:
-        base = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, base + _BLOCK, side="right")))
-        top = int(ends[j - 1])
-        powers = _POWERS if top - base <= _BLOCK else np.cumprod(np.full(top - base + 1, _R, np.uint64)) * _RINV
-        sums = np.zeros(top - base + 1, np.uint64)
-        np.cumsum(_BYTE[raw[base:top]] * powers[: top - base], out=sums[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        back = _INVERSES[s] if top - base <= _BLOCK else np.ones(1, np.uint64)
-        out[i:j] = mix((sums[e] - sums[s]) * back + (e - s).astype(np.uint64))
-        i = j
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) * _ODD + np.uint64(seed * 2 + 1))
+    if not len(sizes):
+        return out
+    eight = np.ndarray(len(raw) + 1, "<u8", np.concatenate((raw, np.zeros(8, np.uint8))), 0, (1,))
+    long = np.flatnonzero(sizes > LONG_SPAN)
+    live = np.arange(len(sizes)) if not len(long) else np.flatnonzero(sizes <= LONG_SPAN)
+    done = 0
+    while True:
+        live = live[sizes[live] > done]
+        if not len(live):
+            break
+        word = eight[starts[live] + done]
+        left = sizes[live] - done
+        part = left < 8
+        word[part] &= (np.uint64(1) << (8 * left[part]).astype(np.uint64)) - np.uint64(1)
+        out[live] = mix(out[live] * _ODD + word)
+        done += 8
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
     return out
 
 
@@ -177,8 +198,14 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.nd
 
 def distinct_in(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text number, hash) pairs in ascending order."""
-    order = np.lexsort((hashes, docs))
-    d, h = docs[order], hashes[order]
-    keep = np.ones(len(d), bool)
-    keep[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-    return d[keep], h[keep]
+    if len(docs) and (docs[1:] < docs[:-1]).any():
+        order = np.argsort(docs, kind="stable")
+        docs, hashes = docs[order], hashes[order]
+    else:
+        hashes = hashes.copy()
+    heads = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))) if len(docs) else np.zeros(0, np.int64)
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(docs)]):
+        hashes[a:b].sort()
+    keep = np.ones(len(docs), bool)
+    keep[1:] = (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])
+    return docs[keep], hashes[keep]

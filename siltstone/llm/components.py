@@ -11,7 +11,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for all nodes of (a, b) edges, root the smallest node reachable; isolated nodes do not occur.
 
     Each round writes the edges to shared storage; the number of rounds grows with the logarithm of the
-    longest path. Stars of any size are aggregated before the shuffle, and the join back is split by AQE.
+    longest path. Stars of any size are aggregated before the shuffle, and the join back is split by AQE. Callers give
+    few edges for a node (one to each round's partner), and those of components already found only between their roots.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -29,12 +30,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     before = None
     for _ in range(rounds):
         old, edges = edges, materialize(star(star(edges, True), False), "edges")
-        release(edges.sparkSession, old, shuffles=False)
+        release(edges.sparkSession, old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    release(edges.sparkSession)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())

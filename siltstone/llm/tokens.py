@@ -3,7 +3,8 @@
 The vocabulary file drops case and white space and never merges over white space or from letters into
 marks, so that the ids of a text are the ids of its pieces one after the other. Pieces repeat far more often
 than texts do: each process keeps the ids of up to MEMO pieces, all of them made by the tokenizers library,
-under a 64-bit hash of the piece. Texts that hold the start of a special token go to the library whole.
+under a 64-bit hash of the piece, with the piece's bytes. A text with a piece whose bytes are others than those kept
+under its hash goes to the library whole, as do texts that hold the start of a special token.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from siltstone.llm.common import lower_ascii, span_hashes, text_bytes
+from siltstone.llm.common import LONG_SPAN, lower_ascii, span_hashes, text_bytes
 
-#: Pieces a process remembers before it starts anew; bounds memory, not results.
-MEMO = 1_000_000
+#: Pieces, and their bytes, that a process remembers before it starts anew; bounds memory, not results.
+MEMO, MEMO_BYTES = 1_000_000, 64 << 20
 _GAPS = np.zeros(256, bool)
 _GAPS[[0x20, 0x09, 0x0A, 0x0D]] = True
 _LETTER = np.zeros(256, bool)
@@ -52,6 +53,8 @@ class Encoder:
         self.sizes = np.zeros(0, np.int64)
         self.ids = np.zeros(1 << 20, np.uint32)
         self.used = 0
+        self.bytes = np.zeros(1 << 20, np.uint8)  # of all pieces, by slot
+        self.at = np.zeros(1, np.int64)  # bounds of the pieces in bytes
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -78,8 +81,14 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return at, self.keys[at] == keys
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        found = self._library(pieces)
+    def _learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
+        found = self._library([p.decode("utf-8", "replace") for p in raw])
+        joined = np.frombuffer(b"".join(raw), np.uint8)
+        top = int(self.at[-1])
+        while top + len(joined) + 8 > len(self.bytes):
+            self.bytes = np.concatenate((self.bytes, np.zeros(len(self.bytes), np.uint8)))
+        self.bytes[top : top + len(joined)] = joined
+        self.at = np.concatenate((self.at, top + np.cumsum([len(p) for p in raw])))
         sizes = np.array([len(x) for x in found], np.int64)
         total = int(sizes.sum())
         while self.used + total > len(self.ids):
@@ -93,6 +102,30 @@ class Encoder:
         at = np.searchsorted(self.keys, keys)
         self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, slots)
 
+    def _others(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Which spans are not the pieces kept in their slots: sizes and all bytes are compared."""
+        a, b = self.at[slots], self.at[slots + 1]
+        sizes = ends - starts
+        wrong = b - a != sizes
+        x = np.ndarray(len(low) + 1, "<u8", np.concatenate((low, np.zeros(8, np.uint8))), 0, (1,))
+        y = np.ndarray(max(len(self.bytes) - 7, 1), "<u8", self.bytes, 0, (1,))
+        live = np.flatnonzero(~wrong)
+        for i in live[sizes[live] > LONG_SPAN].tolist():
+            wrong[i] = not np.array_equal(low[starts[i] : ends[i]], self.bytes[a[i] : b[i]])
+        live = live[sizes[live] <= LONG_SPAN]
+        done = 0
+        while len(live := live[sizes[live] > done]):
+            left = sizes[live] - done
+            # the last eight bytes of kept pieces may overlap the next piece, so that both sides are masked
+            mask = np.full(len(live), 0xFFFFFFFFFFFFFFFF, np.uint64)
+            part = left < 8
+            mask[part] = (np.uint64(1) << (8 * left[part]).astype(np.uint64)) - np.uint64(1)
+            differ = (x[starts[live] + done] ^ y[a[live] + done]) & mask != 0
+            wrong[live[differ]] = True
+            live = live[~differ]
+            done += 8
+        return wrong
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text); a null text has none."""
         raw, offsets = text_bytes(column)
@@ -122,15 +155,17 @@ class Encoder:
         words = np.diff(np.searchsorted(starts, offsets))
         hashes = span_hashes(low, starts, limit)
         keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > MEMO:
+        if len(self.keys) > MEMO or self.at[-1] > MEMO_BYTES:
             self._empty()
         _, known = self._find(keys)
         if not known.all():
             new = np.flatnonzero(~known)
             buffer = low.tobytes()
-            self._learn(keys[new], [buffer[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), limit[first[new]].tolist())])
+            self._learn(keys[new], [buffer[a:b] for a, b in zip(starts[first[new]].tolist(), limit[first[new]].tolist())])
         at, _ = self._find(keys)
         slots = self.slot[at][inverse] if len(keys) else np.zeros(0, np.int64)
+        wrong = self._others(low, starts, limit, slots) if len(keys) else np.zeros(0, bool)
+        special |= set((np.searchsorted(offsets, starts[wrong], side="right") - 1).tolist())
         sizes = self.sizes[slots]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
