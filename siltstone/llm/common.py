@@ -37,18 +37,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files of an execution go as soon as it ends; for plans that are run once.
+DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Shuffle files of the executions inside go as soon as each ends; for plans that are run once."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings as given, until the end of the block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str, **options) -> DataFrame:
@@ -58,7 +61,7 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with shuffles_dropped(spark):
+    with settings(spark, DROP_SHUFFLES):
         df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siltstone.llm.common import distinct_in, fresh, lower_ascii, materialize, mix, release, scratch_path, shingle_hashes, shuffles_dropped, slices, span_hashes, text_bytes, word_spans
+from siltstone.llm.common import DROP_SHUFFLES, distinct_in, fresh, lower_ascii, materialize, mix, release, scratch_path, settings, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 from siltstone.llm.components import components
 
 #: Frequent shingles that are sent to executors, 16 bytes each.
@@ -48,6 +48,8 @@ SALTED = 5_000
 BROADCAST_IDS = 1_000_000
 #: Fingerprints whose first 64 bits are alike and whose others differ; by chance there are none below 10^9 texts.
 TWINS = 10_000
+#: Bytes of a batch of pairs of sets in a worker.
+PAIR_BYTES = 8 << 20
 #: Bounds of the partner's size over the query's that are searched with a common required count.
 STEPS = (1.0, 1.05, 1.11)
 
@@ -327,7 +329,7 @@ class _Sets:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # rows equal in id and text give one set, within a task and then across tasks
         rows = here.mapInArrow(_set_rows(k, twins), "print long, members binary").repartition(parts, "print").dropDuplicates(["print"])
-        with shuffles_dropped(self.spark):
+        with settings(self.spark, DROP_SHUFFLES):
             rows.write.bucketBy(parts, "print").sortBy("print").option("path", self.path).option("compression", "none").saveAsTable(self.name)
 
     def linked(self, pairs: DataFrame, percent: int) -> DataFrame:
@@ -336,7 +338,9 @@ class _Sets:
         left = pairs.join(have.select(F.col("print").alias("a"), F.col("members").alias("left")), "a")
         ends = pairs.select("b").distinct().join(have.select(F.col("print").alias("b"), F.col("members").alias("right")), "b")
         both = left.join(ends, "b").select("a", "b", "left", "right")
-        return materialize(both.mapInArrow(_probe(percent), "a long, b long"), "links")
+        # two sets of a long text are megabytes: batches end by bytes, not by rows
+        with settings(self.spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(PAIR_BYTES)}):
+            return materialize(both.mapInArrow(_probe(percent), "a long, b long"), "links")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
