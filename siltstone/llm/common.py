@@ -37,8 +37,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Shuffle files of an execution go as soon as it ends; for plans that are run once.
-DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: For plans that are run once: shuffle files go as soon as the execution ends; batches for workers end by bytes.
+ONCE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 @contextmanager
@@ -54,14 +54,14 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+def materialize(df: DataFrame, name: str, session: dict[str, str] | None = None, **options) -> DataFrame:
     """Write df once to shared storage and read it back, so that lineage ends at files that outlive executors.
 
-    The shuffle files of the write go when it has ended.
+    The shuffle files of the write go when it has ended. `session`: settings for the write alone.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with settings(spark, DROP_SHUFFLES):
+    with settings(spark, {**ONCE, **(session or {})}):
         df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import uuid
 from bisect import bisect_left
 
 import numpy as np
@@ -31,14 +30,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siltstone.llm.common import DROP_SHUFFLES, distinct_in, fresh, lower_ascii, materialize, mix, release, scratch_path, settings, shingle_hashes, slices, span_hashes, text_bytes, word_spans
+from siltstone.llm.common import distinct_in, fresh, lower_ascii, materialize, mix, release, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 from siltstone.llm.components import components
 
 #: Frequent shingles that are sent to executors, 16 bytes each.
 HEAVY = 400_000
 #: Shingles counted together in a task before counts of LOCAL or more are emitted.
 COUNTED, LOCAL = 4_000_000, 4
-#: Rounds that ask for central classes.
+#: Most rounds that ask for central classes; they end with one that joins few.
 STARS = 3
 #: Postings of a block of the last search; a task holds two.
 BLOCK_ROWS = 400_000
@@ -316,37 +315,23 @@ def _block_search(mixed: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("task", "blocks", "left", "right").applyInPandas(_search(percent), "a long, b long")
 
 
-class _Sets:
-    """The sets of the classes that may link, read from the documents once and kept by print, so that joins do not move them again."""
-
-    def __init__(self, docs: DataFrame, wanted: DataFrame, k: int, twins: np.ndarray):
-        """wanted: print, doc_id and h of one document of each class."""
-        self.spark = docs.sparkSession
-        self.name, self.path = f"siltstone_sets_{uuid.uuid4().hex}", scratch_path(self.spark, "sets")
-        hint = F.broadcast if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else (lambda x: x)
-        one = hint(wanted.select(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("null"), F.col("h").alias("g")).distinct())
-        here = docs.join(one, (F.coalesce("doc_id", F.lit(0)) == F.col("i")) & (F.col("doc_id").isNull() == F.col("null")) & (F.col("h") == F.col("g")), "left_semi")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        # rows equal in id and text give one set, within a task and then across tasks
-        rows = here.mapInArrow(_set_rows(k, twins), "print long, members binary").repartition(parts, "print").dropDuplicates(["print"])
-        with settings(self.spark, DROP_SHUFFLES):
-            rows.write.bucketBy(parts, "print").sortBy("print").option("path", self.path).option("compression", "none").saveAsTable(self.name)
-
-    def linked(self, pairs: DataFrame, percent: int) -> DataFrame:
-        """Those of the pairs (a, b) that are similar, written."""
-        have = self.spark.table(self.name)
-        left = pairs.join(have.select(F.col("print").alias("a"), F.col("members").alias("left")), "a")
-        ends = pairs.select("b").distinct().join(have.select(F.col("print").alias("b"), F.col("members").alias("right")), "b")
-        both = left.join(ends, "b").select("a", "b", "left", "right")
-        # two sets of a long text are megabytes: batches end by bytes, not by rows
-        with settings(self.spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(PAIR_BYTES)}):
-            return materialize(both.mapInArrow(_probe(percent), "a long, b long"), "links")
-
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        jvm, hadoop = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(hadoop).delete(path, True)
+def _linked(docs: DataFrame, ids: DataFrame, pairs: DataFrame, k: int, percent: int, twins: np.ndarray) -> DataFrame:
+    """Those of a table of pairs (a, b) that are similar, written; only the documents of the classes in it are read whole."""
+    spark = docs.sparkSession
+    ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "print")
+    wanted = ends.join(ids, "print").select(F.coalesce("first.doc_id", F.lit(0)).alias("i"), F.col("first.doc_id").isNull().alias("null"), F.col("first.h").alias("g"))
+    wanted = materialize(wanted, "wanted")
+    one = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    here = docs.join(one, (F.coalesce("doc_id", F.lit(0)) == F.col("i")) & (F.col("doc_id").isNull() == F.col("null")) & (F.col("h") == F.col("g")), "left_semi")
+    # rows equal in id and text give one set, within a task and then across tasks; both joins read the one shuffle
+    have = here.mapInArrow(_set_rows(k, twins), "print long, members binary").groupBy("print").agg(F.first("members").alias("members"))
+    left = pairs.join(have.select(F.col("print").alias("a"), F.col("members").alias("left")), "a")
+    right = pairs.select("b").distinct().join(have.select(F.col("print").alias("b"), F.col("members").alias("right")), "b")
+    both = left.join(right, "b").select("a", "b", "left", "right")
+    # two sets of a long text are megabytes: batches end by bytes, not by rows
+    found = materialize(both.mapInArrow(_probe(percent), "a long, b long"), "links", {"spark.sql.execution.arrow.maxBytesPerBatch": str(PAIR_BYTES)})
+    release(spark, wanted)
+    return found
 
 
 def _partners(placed: DataFrame, percent: int, skip: int, leads: bool) -> DataFrame:
@@ -408,37 +393,33 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     mixed = lists.withColumn("central", (F.count(F.lit(1)).over(Window.partitionBy("print")) / index).cast("float")).withColumn("root", F.col("print"))
     bare, mixed = lists, materialize(mixed, "mixed")
     release(spark, bare)
-    kept = _Sets(docs, mixed.select("print").distinct().join(ids, "print").select("print", "first.doc_id", "first.h"), k, twins)
 
     classes = ids.select("print", F.col("print").alias("root"))
 
-    def contract(links: DataFrame) -> bool:
-        """Merge the components that the links join, and end the lists that hold one; whether there were any."""
+    def contract(pairs: DataFrame) -> bool:
+        """Merge the components that the similar ones of the pairs join, and end the lists that hold one; whether one pair in twenty did."""
         nonlocal mixed, classes
-        if links.isEmpty():
-            release(spark, links)
-            return False
-        at = mixed.select("print", "root").distinct()
-        ends = links.join(at.toDF("a", "ra"), "a").join(at.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        moved = materialize(components(ends), "moved")
-        release(spark, links)
-        step = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
-        classes = classes.join(step, "root", "left").select("print", F.coalesce("to", "root").alias("root"))
-        placed = mixed.join(step, "root", "left").select("shingle", "salt", "print", "n", "central", F.coalesce("to", "root").alias("root"))
-        several = placed.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("shingle")
-        stale, mixed = mixed, materialize(placed.join(several, "shingle", "left_semi"), "mixed")
-        release(spark, stale)
-        return True
+        links = _linked(docs, ids, pairs, k, percent, twins)
+        n, of = links.count(), pairs.count()
+        if n:
+            at = mixed.select("print", "root").distinct()
+            ends = links.join(at.toDF("a", "ra"), "a").join(at.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            moved = materialize(components(ends), "moved")
+            step = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+            classes = classes.join(step, "root", "left").select("print", F.coalesce("to", "root").alias("root"))
+            placed = mixed.join(step, "root", "left").select("shingle", "salt", "print", "n", "central", F.coalesce("to", "root").alias("root"))
+            several = placed.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("shingle")
+            stale, mixed = mixed, placed.join(several, "shingle", "left_semi")
+            mixed = materialize(mixed, "mixed")
+            release(spark, stale)
+        release(spark, links, pairs)
+        return n > 0 and 20 * n >= of
 
     for skip in range(STARS):
-        pairs = materialize(_partners(mixed, percent, skip, leads=skip == 0), "pairs")
-        if not contract(kept.linked(pairs, percent)) and skip:
+        if not contract(materialize(_partners(mixed, percent, skip, leads=skip == 0), "pairs")):
             break
-        release(spark, pairs)
-    last = materialize(_block_search(mixed, percent), "pairs")
-    contract(kept.linked(last, percent))
-    kept.drop()
-    release(spark, last, mixed)
+    contract(materialize(_block_search(mixed, percent), "pairs"))
+    release(spark, mixed)
     return rows, classes
 
 
