@@ -27,14 +27,31 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         return out.where("a <> b").distinct()
 
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    for _ in range(rounds):
+    digest = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    before = digest(edges)
+    for _ in range(rounds if before[0] else 0):
         old, edges = edges, materialize(star(star(edges, True), False), "edges")
         release(edges.sparkSession, old)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        now = digest(edges)
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+
+
+def roots_of(parents: DataFrame, rounds: int = 40) -> DataFrame:
+    """(node, root) of a forest (node, up) in which each node stands once and roots are their own parents, by pointer jumping.
+
+    Each round halves the depth, is one join and is written.
+    """
+    parents = materialize(parents.select("node", "up", F.lit(True).alias("moved")), "parents")
+    for _ in range(rounds):
+        above = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        old, parents = parents, materialize(parents.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "parents")
+        release(parents.sparkSession, old)
+        if parents.where("moved").isEmpty():
+            return parents.select("node", F.col("up").alias("root"))
+    raise RuntimeError(f"the forest is deeper than 2^{rounds}")

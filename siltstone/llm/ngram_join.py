@@ -9,11 +9,10 @@ longest are set aside, the others are merged through a heap, and the partners fo
 binary search (_search). Pairs that reach the required count are verified by binary search of the smaller whole set in
 the larger.
 
-A group of m copies with small edits would give m^2 pairs. So a few rounds ask only for each list's most central class
-(the text that others were edited from): each class takes one partner at most, that which it meets most often and often
-enough. Components found are contracted before the next round, and lists of one component end. The last search takes all
-that is left, by bands of set sizes, and skips the members of a query's own component, so that no link between
-components is lost.
+A group of m copies with small edits would give m^2 pairs. So a first search asks only for each list's most central
+class (the text that others were edited from): each class takes one partner at most, that which it meets most often and
+often enough. The components found are contracted, and lists of one component end. The second search takes all that is
+left, by bands of set sizes, and skips the members of a query's own component, so that no link between components is lost.
 
 Rare comes first by a table of at most HEAVY frequent shingles from counts over all documents; the order need
 only be the same for all sets, so that the bound costs no result. Lists of frequent shingles are salted.
@@ -31,14 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltstone.llm.common import distinct_in, fresh, lower_ascii, materialize, mix, release, shingle_hashes, slices, span_hashes, text_bytes, word_spans
-from siltstone.llm.components import components
+from siltstone.llm.components import components, roots_of
 
 #: Frequent shingles that are sent to executors, 16 bytes each.
 HEAVY = 400_000
 #: Shingles counted together in a task before counts of LOCAL or more are emitted.
 COUNTED, LOCAL = 4_000_000, 4
-#: Most rounds that ask for central classes; they end with one that joins few.
-STARS = 3
 #: Postings of a block of the last search; a task holds two.
 BLOCK_ROWS = 400_000
 #: Members of a list of a frequent shingle that share a salt, about.
@@ -297,13 +294,11 @@ def _block_search(mixed: DataFrame, percent: int) -> DataFrame:
     kept = banded.join(useful, ["shingle", "band"]).select(F.xxhash64("shingle", "band").alias("list"), F.col("print").bitwiseXOR(F.col("mask")).alias("node"), "mask", "n", "root", "home", "low")
     kept = materialize(kept, "banded")
     # neighbourhoods: each class hooks to the least class of its lists, then what still differs is settled between these
-    hook = kept.groupBy("node").agg(F.min("low").alias("up"))
-    first = components(hook.select(F.col("node").alias("a"), F.col("up").alias("b")))
-    hooked = kept.select("node", "low").distinct().join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = hooked.join(first.select(F.col("node").alias("low"), F.col("root").alias("b")), "low", "left").select(F.col("root").alias("a"), F.coalesce("b", "low").alias("b")).where("a <> b").distinct()
+    first = roots_of(kept.groupBy("node").agg(F.min("low").alias("up")))
+    hooked = kept.select("node", "low").distinct().join(first, "node")
+    more = hooked.join(first.select(F.col("node").alias("low"), F.col("root").alias("b")), "low").select(F.col("root").alias("a"), "b").where("a <> b").distinct()
     second = components(more)
-    near = kept.select("node").distinct().join(first, "node", "left").select("node", F.coalesce("root", "node").alias("mid"))
-    near = near.join(second.select(F.col("node").alias("mid"), F.col("root").alias("top")), "mid", "left").select("node", F.coalesce("top", "mid").alias("near"))
+    near = first.select("node", F.col("root").alias("mid")).join(second.select(F.col("node").alias("mid"), F.col("root").alias("top")), "mid", "left").select("node", F.coalesce("top", "mid").alias("near"))
     placed = materialize(kept.drop("low").join(near, "node"), "placed")
     release(spark, kept)
     sizes = placed.groupBy("near").agg(F.count(F.lit(1)).alias("rows"))
@@ -334,30 +329,16 @@ def _linked(docs: DataFrame, ids: DataFrame, pairs: DataFrame, k: int, percent:
     return found
 
 
-def _partners(placed: DataFrame, percent: int, skip: int, leads: bool) -> DataFrame:
+def _partners(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b): for each class the central class that it meets most often, where that is as often as a similar one requires.
 
-    Asked for is each list's most central class, or the next one of another component, `skip` times. With `leads` the most
-    central classes of a salted list's parts are set against that of the whole list besides.
+    Asked for is each list's most central class; the parts of a salted list meet through theirs. The partner of a class
+    is always the more central one (ties by hash), so that partners make a forest.
     """
-    one = F.struct("central", F.xxhash64("print").alias("h"), "print", "n", "root")
-
-    def tops(rows: DataFrame, keys: list[str], skip: int) -> DataFrame:
-        w = Window.partitionBy(*keys)
-        rows = rows.withColumn("c0", F.max(one).over(w))
-        for i in range(1, skip + 1):
-            other = F.col("root") != F.col("c0.root")
-            for j in range(1, i):
-                other = other & F.coalesce(F.col("root") != F.col(f"c{j}.root"), F.lit(True))
-            rows = rows.withColumn(f"c{i}", F.max(F.when(other, one)).over(w))
-        return rows.withColumn("top", F.col(f"c{skip}"))
-
-    asked = tops(placed, ["shingle", "salt"], skip)
-    rows = asked.select("print", "n", "root", "top")
-    if leads:
-        heads = asked.where("salt >= 0 and print = top.print").select("shingle", "salt", "print", "n", "central", "root")
-        rows = rows.union(tops(heads, ["shingle"], 0).select("print", "n", "root", "top"))
-    rows = rows.where(F.col("top").isNotNull() & (F.col("root") != F.col("top.root")))
+    one = F.struct("central", F.xxhash64("print").alias("h"), "print", "n")
+    asked = lists.withColumn("top", F.max(one).over(Window.partitionBy("shingle", "salt")))
+    heads = asked.where("salt >= 0 and print = top.print").withColumn("top", F.max("top").over(Window.partitionBy("shingle")))
+    rows = asked.select("print", "n", "top").union(heads.select("print", "n", "top")).where("print <> top.print")
     met = rows.groupBy("print", F.col("top.print").alias("partner"), "n", F.col("top.n").alias("m")).agg(F.count(F.lit(1)).alias("met"))
     met = met.where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("met") >= _required(F.col("n"), F.col("m"), percent)))
     return met.groupBy(F.col("print").alias("a")).agg(F.max_by("partner", F.struct("met", F.xxhash64("partner"))).alias("b"))
@@ -368,8 +349,8 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     spark = docs.sparkSession
     scanned = materialize(docs.mapInArrow(_scan(k), "kind byte, doc_id long, h long, n long, print long, other long"), "prints")
     rows = scanned.where("kind = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), "print", "other")
-    often = scanned.where("kind = 1").groupBy("print").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "print").limit(HEAVY).toPandas()
-    keys, counts = often["print"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
+    often = scanned.where("kind = 1").groupBy("print").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "print").limit(HEAVY).toArrow()
+    keys, counts = often["print"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy().astype(np.int64)
     order = np.argsort(keys)
     solid = rows.where("n_shingles > 0")
     alike = [r[0] for r in solid.groupBy("print").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select("print").limit(TWINS + 1).collect()]
@@ -390,36 +371,30 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     lists = materialize(lists.groupBy("shingle", "salt", "print", "n").agg(F.lit(0).alias("z")).drop("z"), "lists")
     # a class is central if most of its lists are shared: the text that others were edited from comes first
     index = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    mixed = lists.withColumn("central", (F.count(F.lit(1)).over(Window.partitionBy("print")) / index).cast("float")).withColumn("root", F.col("print"))
-    bare, mixed = lists, materialize(mixed, "mixed")
+    central = (F.count(F.lit(1)).over(Window.partitionBy("print")) / index).cast("float")
+    bare, lists = lists, materialize(lists.withColumn("central", central), "lists")
     release(spark, bare)
 
-    classes = ids.select("print", F.col("print").alias("root"))
-
-    def contract(pairs: DataFrame) -> bool:
-        """Merge the components that the similar ones of the pairs join, and end the lists that hold one; whether one pair in twenty did."""
-        nonlocal mixed, classes
-        links = _linked(docs, ids, pairs, k, percent, twins)
-        n, of = links.count(), pairs.count()
-        if n:
-            at = mixed.select("print", "root").distinct()
-            ends = links.join(at.toDF("a", "ra"), "a").join(at.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-            moved = materialize(components(ends), "moved")
-            step = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
-            classes = classes.join(step, "root", "left").select("print", F.coalesce("to", "root").alias("root"))
-            placed = mixed.join(step, "root", "left").select("shingle", "salt", "print", "n", "central", F.coalesce("to", "root").alias("root"))
-            several = placed.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("shingle")
-            stale, mixed = mixed, placed.join(several, "shingle", "left_semi")
-            mixed = materialize(mixed, "mixed")
-            release(spark, stale)
-        release(spark, links, pairs)
-        return n > 0 and 20 * n >= of
-
-    for skip in range(STARS):
-        if not contract(materialize(_partners(mixed, percent, skip, leads=skip == 0), "pairs")):
-            break
-    contract(materialize(_block_search(mixed, percent), "pairs"))
+    # most copies join here, by one partner each
+    pairs = materialize(_partners(lists, percent), "pairs")
+    links = _linked(docs, ids, pairs, k, percent, twins)
+    tops = links.select("b").distinct().join(links.select(F.col("a").alias("b")), "b", "left_anti")
+    stars = roots_of(links.select(F.col("a").alias("node"), F.col("b").alias("up")).union(tops.select("b", "b")))
+    release(spark, pairs, links)
+    placed = lists.drop("salt", "central").join(stars.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    several = placed.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("shingle")
+    mixed = materialize(placed.join(several, "shingle", "left_semi"), "mixed")
+    release(spark, lists)
+    # whatever is left between components
+    pairs = materialize(_block_search(mixed, percent), "pairs")
     release(spark, mixed)
+    links = _linked(docs, ids, pairs, k, percent, twins)
+    root = lambda at: stars.select(F.col("node").alias(at), F.col("root").alias(f"r{at}"))
+    ends = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    rest = components(ends)
+    release(spark, pairs, links)
+    classes = ids.select("print").join(stars.withColumnRenamed("node", "print"), "print", "left").select("print", F.coalesce("root", "print").alias("mid"))
+    classes = classes.join(rest.select(F.col("node").alias("mid"), F.col("root").alias("top")), "mid", "left").select("print", F.coalesce("top", "mid").alias("root"))
     return rows, classes
 
 
