@@ -301,9 +301,11 @@ def _block_search(mixed: DataFrame, percent: int) -> DataFrame:
     near = first.select("node", F.col("root").alias("mid")).join(second.select(F.col("node").alias("mid"), F.col("root").alias("top")), "mid", "left").select("node", F.coalesce("top", "mid").alias("near"))
     placed = materialize(kept.drop("low").join(near, "node"), "placed")
     release(spark, kept)
-    sizes = placed.groupBy("near").agg(F.count(F.lit(1)).alias("rows"))
+    # only large neighbourhoods are named: one at most for BLOCK_ROWS postings
+    large = materialize(placed.groupBy("near").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK_ROWS), "large")
+    hint = F.broadcast if large.count() <= BROADCAST_IDS else (lambda x: x)
     tasks = F.greatest(F.ceil(F.lit(max(placed.count(), 1)) / BLOCK_ROWS), F.lit(spark.sparkContext.defaultParallelism))
-    placed = placed.join(sizes, "near").withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS))
+    placed = placed.join(hint(large), "near", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("rows") / BLOCK_ROWS), F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("task", F.when(F.col("blocks") > 1, F.col("near")).otherwise(F.pmod(F.xxhash64("near"), tasks)))
     ends = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right")))
     dealt = placed.select("task", "blocks", "list", "node", "mask", "n", "root", "home", "block", F.explode(ends).alias("e")).select("task", "blocks", "e.left", "e.right", "list", "node", "mask", "n", "root", "home", "block")
