@@ -3,7 +3,9 @@
 For each language a suffix automaton holds labelled text. A document is parsed greedily into the longest
 phrases that the automaton knows; the language needing the fewest phrases for the bytes parsed wins. The
 automata run over bytes with A-Z and Latin capitals lowered and anything but letters as one gap. All texts of a run
-are cut into blocks of BLOCK bytes and all blocks step together, so that a long text is many lanes.
+are cut into blocks of BLOCK bytes and all blocks step together, so that a long text is many lanes; then the phrase that
+crosses into a block is followed until it meets a phrase start that the block has found by itself, so that the count is
+that of the whole text's parse.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from siltstone.llm.common import slices, text_bytes
 
-#: Bytes of text to an automaton, and labelled rows of a language considered for it: the bounded sample.
-TRAIN_BYTES, TRAIN_ROWS = 40_000, 48
-#: Most languages: with TRAIN_BYTES it bounds what is broadcast (about 4 MB each).
-LANGUAGES = 64
+#: Bytes of text to an automaton, most bytes from one text, and labelled rows of a language considered: the bounded sample.
+TRAIN_BYTES, TRAIN_CUT, TRAIN_ROWS = 40_000, 10_000, 2_000
+#: Languages beyond which each gets fewer bytes, down to LEAST_BYTES, so that what is broadcast (about 100 bytes a byte of text) is bounded.
+LANGUAGES, LEAST_BYTES = 64, 500
 BLOCK = 256
 #: Bytes a phrase below which a text is in none of the languages.
 LEAST_PHRASE = 2.0
@@ -79,57 +81,96 @@ def suffix_automaton(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def phrases(raw: np.ndarray, bounds: np.ndarray, automaton: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Phrases of the greedy parse of each text; a phrase also ends with its block of BLOCK bytes."""
+    """Phrases of the greedy parse of each text; a byte that the automaton does not know is a phrase of its own."""
     kinds, table = automaton
-    width = table.shape[1]
-    flat = table.reshape(-1)
+    width, unknown = table.shape[1], len(table)  # `unknown`: after such a byte any other starts a phrase
+    flat = np.concatenate((table.reshape(-1), np.full(width, -1, np.int32)))
+    root = np.where(table[0] < 0, unknown, table[0]).astype(np.int32)
     sizes = np.diff(bounds)
     blocks = -(-sizes // BLOCK)
     doc = np.repeat(np.arange(len(sizes)), blocks)
     number = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     start = bounds[doc] + number * BLOCK
     length = np.minimum(BLOCK, bounds[doc + 1] - start)
-    order = np.argsort(-length, kind="stable")
-    start, length, doc = start[order], length[order], doc[order]
     symbols = kinds[raw]
-    state = np.zeros(len(start), np.int32)
-    count = (length > 0).astype(np.int32)
-    root = table[0]
-    lanes = np.searchsorted(-length, -np.arange(1, BLOCK + 1), side="right")  # blocks with more than j bytes
-    for j in range(BLOCK):
+    begins = np.zeros(len(raw) + 1, bool)  # phrase starts of the blocks' own parses
+    begins[start] = True
+    # all blocks, as if a phrase began with each
+    order = np.argsort(-length, kind="stable")
+    at = start[order]
+    lanes = np.searchsorted(-length[order], -np.arange(1, BLOCK + 1), side="right")  # blocks with more than j bytes
+    state = root[symbols[at]] if len(at) else np.zeros(0, np.int32)
+    for j in range(1, BLOCK):
         n = int(lanes[j])
         if not n:
             break
-        c = symbols[start[:n] + j]
+        c = symbols[at[:n] + j]
         to = flat[state[:n] * width + c]
         dead = np.flatnonzero(to < 0)
         if len(dead):
-            if j:
-                count[dead] += 1
-            to[dead] = np.maximum(root[c[dead]], 0)
+            begins[at[dead] + j] = True
+            to[dead] = root[c[dead]]
         state[:n] = to
-    out = np.zeros(len(sizes), np.int64)
-    np.add.at(out, doc, count)
-    return out
+    last = np.empty(len(start), np.int32)
+    last[order] = state
+    before = np.concatenate(([0], np.cumsum(begins)))
+    count = before[start + length] - before[start]
+    alone = last.copy()  # how each block ends by itself: also once its parse has met the other
+    # each block again with the phrase that comes into it, until both parses have a start in common
+    todo = np.flatnonzero(number > 0)
+    while len(todo):
+        state, ended = last[todo - 1], alone[todo]
+        own = np.zeros(len(todo), np.int64)
+        live = np.arange(len(todo))
+        for j in range(BLOCK):
+            place = start[todo[live]] + j
+            c = symbols[place]
+            to = flat[state[live] * width + c]
+            dead = to < 0
+            to[dead] = root[c[dead]]
+            met = dead & begins[place]
+            done = live[met]
+            own[done] += before[start[todo[done]] + length[todo[done]]] - before[place[met]]
+            own[live[dead & ~met]] += 1
+            state[live] = to
+            over = ~met & (j + 1 == length[todo[live]])
+            ended[live[over]] = to[over]
+            live = live[~met & ~over]
+            if not len(live):
+                break
+        count[todo] = own
+        changed = todo[ended != last[todo]]
+        last[todo] = ended
+        # a block that no start in common has ended hands another state on
+        after = changed + 1
+        after = after[after < len(start)]
+        todo = after[number[after] > 0]
+    return np.bincount(doc, weights=count, minlength=len(sizes)).astype(np.int64)
 
 
 def fit(docs: DataFrame, modulo: int = 3, out: int = 1) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """An automaton for each language from at most TRAIN_ROWS labelled rows of it, those of the smallest id hashes.
+    """An automaton for each language, from the first TRAIN_CUT characters of labelled rows of it until TRAIN_BYTES are full.
 
-    Of these, distinct whole texts of 200 bytes to a quarter of TRAIN_BYTES are taken until TRAIN_BYTES are full.
+    Rows come in the order of their id hashes, those of 200 to TRAIN_CUT bytes before shorter and longer ones; any text with
+    a word can be learned from, so that a language of short texts gets an automaton too. Equal texts count once.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulo, out))
-    rows = rows.where(F.octet_length("text").between(200, TRAIN_BYTES // 4))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = rows.select("lang", "doc_id").withColumn("n", first).where(F.col("n") <= TRAIN_ROWS).select("doc_id").limit(TRAIN_ROWS * LANGUAGES)
-    texts = rows.select("doc_id", "lang", "text").join(F.broadcast(picked.distinct()), "doc_id").toPandas()
-    held: dict[str, list[bytes]] = {}
-    for _, row in texts.sort_values(["lang", "doc_id", "text"]).iterrows():
-        part = normal_bytes(*text_bytes(pa.array([row["text"]], pa.string())))[0].tobytes()
-        have = held.setdefault(row["lang"], [])
-        if part not in have and sum(map(len, have)) + len(part) <= TRAIN_BYTES:
-            have.append(part)
-    held = {lang: b" ".join(parts) for lang, parts in held.items() if parts}
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulo, out) & (F.octet_length("text") > 0))
+    size = F.octet_length("text")
+    keyed = rows.select("lang", "doc_id", F.xxhash64("text").alias("h"), F.least(size, F.lit(TRAIN_CUT)).alias("size"), (~size.between(200, TRAIN_CUT)).alias("odd"), F.xxhash64("doc_id").alias("o"))
+    some = keyed.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("odd", "o", "doc_id", "h"))).where(F.col("n") <= TRAIN_ROWS)
+    once = some.withColumn("twin", F.row_number().over(Window.partitionBy("lang", "h").orderBy("n"))).where("twin = 1")
+    full = F.sum("size").over(Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    # about TRAIN_BYTES and one text of a language
+    picked = once.withColumn("full", F.coalesce(full, F.lit(0))).where(F.col("full") < TRAIN_BYTES).select("lang", "doc_id", "h", "n")
+    texts = docs.select("lang", "doc_id", F.substring("text", 1, TRAIN_CUT).alias("cut"), F.xxhash64("text").alias("h")).join(F.broadcast(picked), ["lang", "doc_id", "h"])
+    table = texts.groupBy("lang", "n").agg(F.first("cut").alias("cut")).toArrow().sort_by([("lang", "ascending"), ("n", "ascending")])
+    languages = table["lang"].to_pylist()
+    each = max(LEAST_BYTES, TRAIN_BYTES * LANGUAGES // max(len(set(languages)), LANGUAGES))
+    held: dict[str, bytes] = {}
+    for lang, cut in zip(languages, table["cut"].to_pylist()):
+        part = normal_bytes(*text_bytes(pa.array([cut], pa.string())))[0].tobytes()
+        if part.strip() and len(held.get(lang, b"")) < each:
+            held[lang] = (held[lang] + b" " + part if lang in held else part)[:each]
     return {lang: suffix_automaton(data) for lang, data in sorted(held.items())}
 
 
