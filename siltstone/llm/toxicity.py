@@ -145,29 +145,32 @@ def hits(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
 
 
 def _seen_terms(lexicon: Lexicon):
-    """Number of each term that a clean text misspells, once for each text."""
+    """Number and least distance of each term that a clean text misspells, once for each text."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 clean = part.filter(pa.compute.equal(part.column("toxic"), 0))
-                seen = sorted({(d, term) for d, distance, term, _ in found(clean.column("text"), lexicon) if distance})
-                yield pa.RecordBatch.from_arrays([pa.array([t for _, t in seen], pa.int64())], ["term"])
+                seen: dict[tuple[int, int], int] = {}
+                for d, distance, term, _ in found(clean.column("text"), lexicon):
+                    if distance:
+                        seen[d, term] = min(distance, seen.get((d, term), distance))
+                yield pa.RecordBatch.from_arrays([pa.array([t for _, t in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["term", "distance"])
 
     return run
 
 
 def calibrated(terms: list[tuple[bytes, bool]], sample: DataFrame, n_clean: int) -> Lexicon:
-    """The lexicon with each term's edits lowered until its misspellings are rare in clean sample texts."""
+    """The lexicon with each term's edits lowered until its misspellings are rare in clean sample texts; one pass counts each distance."""
     edits = [allowed(t) for t, _ in terms]
-    while True:
-        lexicon = Lexicon([(t, s, d) for (t, s), d in zip(terms, edits)])
-        seen = sample.mapInArrow(_seen_terms(lexicon), "term long").groupBy("term").count().collect()  # TERMS rows at most
-        many = [r["term"] for r in seen if r["count"] > max(1, 0.001 * n_clean)]
-        if not many:
-            return lexicon
-        for t in many:
-            edits[t] -= 1
+    widest = Lexicon([(t, s, d) for (t, s), d in zip(terms, edits)])
+    seen = sample.mapInArrow(_seen_terms(widest), "term long, distance long").groupBy("term", "distance").count().collect()  # 2 * TERMS rows at most
+    counts = {(r["term"], r["distance"]): r["count"] for r in seen}
+    for i, d in enumerate(edits):
+        while d and sum(counts.get((i, x), 0) for x in range(1, d + 1)) > max(1, 0.001 * n_clean):
+            d -= 1
+        edits[i] = d
+    return Lexicon([(t, s, d) for (t, s), d in zip(terms, edits)])
 
 
 def _hit_rows(lexicon: Lexicon):
@@ -208,6 +211,14 @@ def _marks(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), part.column("toxic"), pa.array(mark)], ["doc_id", "text", "toxic", "mark"])
 
 
+def evidence(toxic: int, clean: int, share: float) -> float:
+    """Minus the logarithm of the chance (its bound) that so many of a term's rows are toxic by themselves, where `share` of all are."""
+    p = toxic / (toxic + clean)
+    if p <= share:
+        return 0.0
+    return (toxic + clean) * (p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0.0))
+
+
 def choose_terms(rows: list[tuple[str, int, int]], n_clean: int, n_toxic: int) -> list[tuple[bytes, bool]]:
     """Terms that mark toxic rows: frequent there, rare in clean ones; of stems and words with one count the longest, and none that a chosen stem covers."""
     good = {}
@@ -266,11 +277,12 @@ def fit(docs: DataFrame, labels: DataFrame, modulo: int = 5, out: int = 0) -> Mo
     """A lexicon and weights from at most SAMPLE_ROWS labelled rows of either label that are not held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), modulo, out))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    take = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id")).limit(SAMPLE_ROWS) for t in (0, 1)]
+    take = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for t in (0, 1)]
     picked = F.broadcast(take[0].union(take[1]))  # 2 * SAMPLE_ROWS rows at most
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(picked, "doc_id")
-    # one row for each group of near copies, so that a copied text's words are not taken for terms
-    marked = sample.mapInArrow(_marks, "doc_id long, text string, toxic int, mark long").dropDuplicates(["mark", "toxic"])
+    # one row for each group of near copies, that of the smallest id hash, so that a copied text's words are not taken for terms
+    order = F.struct(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    marked = sample.mapInArrow(_marks, "doc_id long, text string, toxic int, mark long").groupBy("mark", "toxic").agg(F.min_by("text", order).alias("text"))
     # the sample is written once; its texts stay off the driver
     frame = materialize(marked.select("text", "toxic").repartition(8), "toxic-sample")
     n = {r["toxic"]: r["count"] for r in frame.groupBy("toxic").count().collect()}
@@ -278,9 +290,13 @@ def fit(docs: DataFrame, labels: DataFrame, modulo: int = 5, out: int = 0) -> Mo
     if not n_toxic or not n_clean:
         return Model(Lexicon([]), np.array([-3.0, 0.0, 0.0]))
     terms = frame.mapInArrow(_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    rows = terms.where(F.col("toxic") >= max(4, LEAST_SHARE * n_toxic)).where(F.col("toxic") / n_toxic > 20 * (F.col("clean") + 0.5) / n_clean).collect()
+    terms = materialize(terms, "toxic-terms")
+    rows = terms.where(F.col("toxic") >= max(4, LEAST_SHARE * n_toxic)).where(F.col("toxic") / n_toxic > 20 * (F.col("clean") + 0.5) / n_clean).orderBy("term").collect()
+    least = np.log(max(terms.count(), 1))
+    rows = [r for r in rows if evidence(r.toxic, r.clean, n_toxic / (n_toxic + n_clean)) > least]
     lexicon = calibrated(choose_terms([(r.term, r.clean, r.toxic) for r in rows], n_clean, n_toxic), frame, n_clean)
-    x = frame.mapInArrow(_hit_rows(lexicon), "exact double, near double, toxic int").orderBy("toxic", "exact", "near").toPandas()  # three numbers a sample row
+    x = frame.mapInArrow(_hit_rows(lexicon), "exact double, near double, toxic int").groupBy("exact", "near", "toxic").count().toPandas().sort_values(["toxic", "exact", "near"])  # a row for each kind of sample row
+    x = x.loc[x.index.repeat(x["count"])]
     weights = _logistic(_strength(x[["exact", "near"]].to_numpy()), x["toxic"].to_numpy(float))
     # a misspelling that calibration left in is nearly as telling as the term itself
     weights[2] = max(weights[2], 0.9 * weights[1])
