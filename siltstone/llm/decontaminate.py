@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siltstone.llm.common import fresh
+
 #: Words of a window, least share of an item's windows, literal words that a template window must have.
 K, SHARE, LITERALS = 5, 0.8, 3
 #: Benchmark windows up to which they are sent to all executors; more are joined by a shuffle.
@@ -51,7 +53,7 @@ def _has_slot(text: Column) -> Column:
 
 
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), item_id, kind (plain or template), share, slots_consistent for each item in a document.
+    """doc_id, h (hash of the text), item_id, kind (plain or template), share, slot_share (of consistent values; null: plain) for each item in a document.
 
     Null and short texts hold nothing; items of fewer than K words, or null, are not looked for; repeated rows of docs (same
     doc_id and text) give one row for an item, a null doc_id is carried, of items with one id the windows are pooled; texts are
@@ -110,12 +112,13 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = best.alias("x").join(agreed.alias("y"), F.expr("x.doc_id <=> y.doc_id and x.h = y.h and x.item_id = y.item_id"), "left")
     consistent = F.col("plain").isNotNull() | (F.coalesce("agreed", F.lit(1.0)) >= SHARE)
     return out.where(consistent).select(
-        "x.doc_id", "x.h", "x.item_id", F.when(F.col("plain").isNotNull(), "plain").otherwise("template").alias("kind"), F.coalesce("plain", "template").alias("share"), F.lit(True).alias("slots_consistent")
+        "x.doc_id", "x.h", "x.item_id", F.when(F.col("plain").isNotNull(), "plain").otherwise("template").alias("kind"), F.coalesce("plain", "template").alias("share"), F.when(F.col("plain").isNull(), F.coalesce("agreed", F.lit(1.0))).alias("slot_share")
     )
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark item."""
-    bad = find(docs, items).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
+    i, h = fresh(docs, "i"), fresh(docs, "h")
+    bad = find(docs, items).select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(bad[i]) & (F.xxhash64(docs["text"]) == bad[h])
     return docs.join(bad, same, "left_anti")
