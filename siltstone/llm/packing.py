@@ -53,45 +53,59 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
         left[length] = n
     done: list[tuple[tuple[int, ...], int]] = []
 
-    def pair(total: int) -> tuple[int, int] | None:
-        if total < 2:
-            return None
-        there = left[1:total] > 0
-        ok = np.flatnonzero(there & there[::-1])
-        for a in ok[::-1].tolist():
-            big, small = a + 1, total - a - 1
-            if big != small or left[big] > 1:
-                return big, small
+    if left[capacity]:
+        done.append(((capacity,), int(left[capacity])))
+        left[capacity] = 0
+    # the index: sum -> place among the lengths, largest first, of the first that may be the larger part of a pair (the
+    # largest of a triple) with that sum. Counts only fall, so that a place once passed never holds again.
+    lengths = np.flatnonzero(left)[::-1].tolist()
+    left = left.tolist()
+    pairs: dict[int, int] = {}
+    triples: dict[int, int] = {}
+
+    def pair(total: int, held: tuple[int, ...]) -> tuple[int, int] | None:
+        """The pair of the largest part with that sum, besides the lengths held already."""
+        at, firm = pairs.get(total, 0), True
+        while at < len(lengths):
+            big = lengths[at]
+            small = total - big
+            if small > big:
+                break
+            if small > 0 and left[big] and left[small] and (big != small or left[big] > 1):
+                if firm:
+                    pairs[total], firm = at, False
+                if left[big] > held.count(big) + (big == small) and left[small] > held.count(small):
+                    return big, small
+            at += 1
+        if firm:
+            pairs[total] = len(lengths)
         return None
 
-    def fill(gap: int) -> tuple[int, ...] | None:
-        if left[gap] > 0:
+    def fill(length: int) -> tuple[int, ...] | None:
+        gap = capacity - length
+        if left[gap] > (gap == length):
             return (gap,)
-        if (two := pair(gap)) is not None:
+        if (two := pair(gap, (length,))) is not None:
             return two
-        for first in (np.flatnonzero(left[1:gap] > 0)[::-1] + 1).tolist():
-            if 3 * first < gap:  # the first is the largest of three
-                return None
-            left[first] -= 1
-            two = pair(gap - first)
-            left[first] += 1
-            if two is not None:
+        at, firm = triples.get(gap, 0), True
+        while at < len(lengths) and 3 * lengths[at] >= gap:
+            first = lengths[at]
+            if first < gap and left[first] > (first == length) and (two := pair(gap - first, (length, first))) is not None:
                 return (first, *two)
+            at += 1
+            firm = firm and (first >= gap or not left[first] or pairs.get(gap - first, 0) == len(lengths))
+            if firm:
+                triples[gap] = at
         return None
 
-    if left[capacity]:
-        done.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
     # exact complements, largest first: each step uses up a length or parts with one whole group
     for length in range(capacity - 1, 0, -1):
         while left[length] > 0:
-            left[length] -= 1
-            found = fill(capacity - length)
-            left[length] += 1
+            found = fill(length)
             if found is None:
                 break
             combo = (length, *found)
-            times = min(int(left[x]) // combo.count(x) for x in set(combo))
+            times = min(left[x] // combo.count(x) for x in set(combo))
             for x in combo:
                 left[x] -= times
             done.append((combo, times))
