@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import heapq
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from siltstone.llm.common import materialize
+
 
 def schedule(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
     """(size, shard, first rank, number of groups) under LPT for (size, count) pairs; ties go to the lower shard.
@@ -69,12 +73,15 @@ def lpt_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")).alias("digest"),
     )
+    base = materialize(base, "sizes")  # texts are read and hashed once
     groups = base.groupBy("digest").agg(F.sum("size").alias("bytes"))
     salted = groups.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(256)))
     cells = salted.groupBy("bytes", "salt").agg(F.count(F.lit(1)).alias("n"))
     histogram = cells.groupBy("bytes").agg(F.sum("n").alias("n"))
-    planned = schedule([(r[0], r[1]) for r in histogram.toLocalIterator()], shards)
-    plan = spark.createDataFrame(planned or [(0, 0, 0, 0)], "bytes long, shard int, first long, n long")
+    sent = histogram.toArrow()
+    planned = schedule(list(zip(sent["bytes"].to_pylist(), sent["n"].to_pylist())), shards)
+    plan = spark.createDataFrame(pa.Table.from_pandas(pd.DataFrame(planned, columns=["bytes", "shard", "first", "n"], dtype="int64"), preserve_index=False))
+    plan = plan.select("bytes", F.col("shard").cast("int").alias("shard"), "first", "n")
     before = cells.select("bytes", "salt", (F.sum("n").over(Window.partitionBy("bytes").orderBy("salt")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("bytes", "salt").orderBy("digest")) - 1
     ranked = salted.withColumn("own", own).join(before, ["bytes", "salt"]).select("digest", "bytes", (F.col("own") + F.col("before")).alias("rank"))
