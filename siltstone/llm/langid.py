@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from siltstone.llm.common import slices, text_bytes
 
 #: Bytes of text to an automaton, most bytes from one text, and labelled rows of a language considered: the bounded sample.
-TRAIN_BYTES, TRAIN_CUT, TRAIN_ROWS = 40_000, 10_000, 2_000
+TRAIN_BYTES, TRAIN_CUT, TRAIN_ROWS = 40_000, 10_000, 500
 #: Languages beyond which each gets fewer bytes, down to LEAST_BYTES, so that what is broadcast (about 100 bytes a byte of text) is bounded.
 LANGUAGES, LEAST_BYTES = 64, 500
 BLOCK = 256

@@ -35,7 +35,7 @@ from siltstone.llm.components import components, roots_of
 #: Frequent shingles that are sent to executors, 16 bytes each.
 HEAVY = 400_000
 #: Shingles counted together in a task before counts of LOCAL or more are emitted.
-COUNTED, LOCAL = 4_000_000, 4
+COUNTED, LOCAL = 2_000_000, 4
 #: Postings of a block of the last search; a task holds two.
 BLOCK_ROWS = 400_000
 #: Members of a list of a frequent shingle that share a salt, about.

@@ -18,7 +18,9 @@ import pyarrow as pa
 from siltstone.llm.common import LONG_SPAN, lower_ascii, span_hashes, text_bytes
 
 #: Pieces, and their bytes, that a process remembers before it starts anew; bounds memory, not results.
-MEMO, MEMO_BYTES = 1_000_000, 64 << 20
+MEMO, MEMO_BYTES = 400_000, 16 << 20
+#: Pieces that go to the library at once.
+LEARNED = 20_000
 _GAPS = np.zeros(256, bool)
 _GAPS[[0x20, 0x09, 0x0A, 0x0D]] = True
 _LETTER = np.zeros(256, bool)
@@ -161,7 +163,8 @@ class Encoder:
         if not known.all():
             new = np.flatnonzero(~known)
             buffer = low.tobytes()
-            self._learn(keys[new], [buffer[a:b] for a, b in zip(starts[first[new]].tolist(), limit[first[new]].tolist())])
+            for some in np.array_split(new, -(-len(new) // LEARNED)):
+                self._learn(keys[some], [buffer[a:b] for a, b in zip(starts[first[some]].tolist(), limit[first[some]].tolist())])
         at, _ = self._find(keys)
         slots = self.slot[at][inverse] if len(keys) else np.zeros(0, np.int64)
         wrong = self._others(low, starts, limit, slots) if len(keys) else np.zeros(0, bool)
