@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from siltstone.plans import aggregates, evaluation, further, graphs, more, quality, relational, retrieval, scalars, streams  # noqa: F401
+from siltstone.plans import aggregates, evaluation, further, graphs, more, quality, relational, retrieval, scalars, statements, storage, streams  # noqa: F401
 from siltstone.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -12,7 +12,14 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """df from files in the shared checkpoint folder, so that plans do not grow with the rounds."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
@@ -77,7 +84,7 @@ def connected(edges: DataFrame, rounds: int = 30) -> DataFrame:
             if now == total:
                 return labels
             total = now
-    return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:

@@ -39,15 +39,62 @@ def prefix_budget(df: DataFrame, keys: list, order: list, cost: Column, budget:
 
 
 def greedy_budget(df: DataFrame, keys: list[str], order: str, cost: str, budget: int) -> DataFrame:
-    """Rows taken in order where they still fit, others skipped: one pass of state for each key, in the JVM.
+    """Rows taken in order where they still fit, others skipped; the state of a key is one number, whatever its rows."""
 
-    The rows of a key are folded as (order, cost) pairs; a key should be one query or document.
+    def step(used, row):
+        used = used or 0
+        c = row[len(keys) + 1]
+        fits = c is not None and used + c <= budget
+        return (used + c if fits else used), (row if fits else None)
+
+    kinds = dict(df.dtypes)
+    columns = [*keys, order, cost, *[c for c in df.columns if c not in (*keys, order, cost)]]
+    return _state_by_key(df.select(*columns), keys, [order], step, ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+
+def _state_by_key(df: DataFrame, keys: list[str], order: list[str], step, schema: str) -> DataFrame:
+    """Rows of each key in order through step(state, row as a tuple) -> (state, output tuple or None), one row at a time.
+
+    Rows are shuffled by the keys and sorted by Spark (spilling where a key is large); a task holds one batch and one state.
     """
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{dict(df.dtypes)[order]}>").alias("took"))
-    step = lambda acc, x: F.when(acc.used + x.c <= budget, F.struct((acc.used + x.c).alias("used"), F.concat(acc.took, F.array(x.o)).alias("took"))).otherwise(acc)
-    taken = df.groupBy(*keys).agg(pairs.alias("p")).select(*keys, F.explode(F.aggregate("p", start, step, lambda acc: acc.took)).alias(order))
-    return df.join(taken, [*keys, order], "left_semi")
+    import pyarrow as pa
+
+    columns = df.columns
+
+    def run(batches):
+        last, state = None, None
+        for batch in batches:
+            rows = zip(*[batch.column(c).to_pylist() for c in columns])
+            out = []
+            for row in rows:
+                key = row[: len(keys)]
+                if key != last:
+                    last, state = key, None
+                state, made = step(state, row)
+                if made is not None:
+                    out.append(made)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], [f.name for f in arrow])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = list(to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema))
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def nearest_lower(df: DataFrame, key: str, order: str, depth: str) -> DataFrame:
+    """key, order, parent: for each row the nearest earlier row of its key with a lower depth, null for none; by a stack."""
+
+    def step(stack, row):
+        _, at, d = row
+        stack = stack if stack is not None else []
+        while stack and stack[-1][1] >= d:
+            stack.pop()
+        parent = stack[-1][0] if stack else None
+        stack.append((at, d))
+        return stack, (row[0], at, parent)
+
+    kinds = dict(df.dtypes)
+    return _state_by_key(df.select(key, order, depth), [key], [order], step, f"{key} {kinds[key]}, {order} {kinds[order]}, parent {kinds[order]}")
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, tie: list[str]) -> DataFrame:
@@ -62,7 +109,9 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, ri
     both = l.unionByName(r.select(*keys, "__t", "__r", F.lit(None).cast(l.schema["__l"].dataType).alias("__l")))
     w = Window.partitionBy(*keys).orderBy("__t", F.col("__r").isNull(), *[F.col(f"__r.{c}") for c in tie])
     before = F.last("__r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__r", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # the same order backwards, so that both fills run on
+    back = Window.partitionBy(*keys).orderBy(F.desc("__t"), F.desc(F.col("__r").isNull()), *[F.desc(F.col(f"__r.{c}")) for c in tie])
+    after = F.last("__r", True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     out = both.select(*keys, "__t", "__l", before.alias("__b"), after.alias("__a")).where("__l is not null")
     gap = lambda c: F.abs(F.unix_micros(F.col("__t").cast("timestamp")) - F.unix_micros(F.col(f"{c}.ts").cast("timestamp")))
     pick = F.when(F.col("__a").isNull() | (gap("__b") <= gap("__a")), F.col("__b")).otherwise(F.col("__a"))

@@ -74,13 +74,13 @@ def _(t):
 
 @query(
     "a21_keyword_frequency",
-    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b[a-z]{3,}\b')) AS w FROM documents WHERE lang = 'en'),
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b[a-z]{3,}\b')) AS w FROM documents),
     c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE w NOT IN ('the', 'and', 'for', 'that', 'with') GROUP BY doc_id, w)
     SELECT doc_id, w, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS r FROM c) WHERE r <= 5""",
 )
 def _(t):
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![A-Za-z0-9_])[a-z]{3,}(?![A-Za-z0-9_])"), F.lit(0))).alias("w")
-    c = t("documents").where("lang = 'en'").select("doc_id", words).where(~F.col("w").isin("the", "and", "for", "that", "with")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    c = t("documents").select("doc_id", words).where(~F.col("w").isin("the", "and", "for", "that", "with")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
     return c.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "w"))).where("r <= 5").drop("r")
 
 

@@ -59,10 +59,10 @@ def _(t):
     return _ranked(t).groupBy("q").agg(F.round(1.0 / F.min(F.when(F.col("rel") > 0, F.col("rn"))), 6).alias("rr"))
 
 
-@query("e6_evidence_coverage", "SELECT p_brand, round(avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0 END), 6) AS coverage FROM (SELECT p_partkey, p_brand, count(DISTINCT l_suppkey) AS n FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1, 2) GROUP BY p_brand")
+@query("e6_evidence_coverage", "SELECT p_brand, round(avg(CASE WHEN n >= 26 THEN 1.0 ELSE 0 END), 6) AS coverage FROM (SELECT p_partkey, p_brand, count(DISTINCT l_suppkey) AS n FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1, 2) GROUP BY p_brand")
 def _(t):
     each = t("part").select("p_partkey", "p_brand").join(t("lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("n")), F.col("p_partkey") == F.col("l_partkey"), "left")
-    return each.groupBy("p_brand").agg(F.round(F.avg((F.coalesce("n", F.lit(0)) >= 2).cast("double")), 6).alias("coverage"))
+    return each.groupBy("p_brand").agg(F.round(F.avg((F.coalesce("n", F.lit(0)) >= 26).cast("double")), 6).alias("coverage"))
 
 
 @query("e8_groundedness", "SELECT p_brand, round(avg(g), 6) AS groundedness FROM (SELECT p_partkey, p_brand, coalesce(avg(0.6 * l_discount * 10 + 0.4 * l_tax * 10), 0) AS g FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1, 2) GROUP BY p_brand")
@@ -77,9 +77,9 @@ def _(t):
     return t("lineitem").groupBy("l_partkey").agg(F.avg("l_discount").alias("m")).agg(F.round(F.avg((F.col("m") < 0.05).cast("double")), 6).alias("rate"))
 
 
-@query("e13_threshold_gates", "SELECT event_type, (avg(value) >= 10 AND min(value) >= 0 AND count(*) >= 100) AS passed FROM events GROUP BY event_type")
+@query("e13_threshold_gates", "SELECT event_type, (avg(value) >= 10 AND min(value) >= 0 AND count(*) >= 2000) AS passed FROM events GROUP BY event_type")
 def _(t):
-    return t("events").groupBy("event_type").agg(((F.avg("value") >= 10) & (F.min("value") >= 0) & (F.count(F.lit(1)) >= 100)).alias("passed"))
+    return t("events").groupBy("event_type").agg(((F.avg("value") >= 10) & (F.min("value") >= 0) & (F.count(F.lit(1)) >= 2000)).alias("passed"))
 
 
 # -- claims: orders are claims, their lines evidence ----------------------------------------------
@@ -123,10 +123,14 @@ def _(t):
     return o.select("o_orderkey", F.round(F.greatest(F.lit(0.1), 0.9 - F.least(F.lit(0.8), F.coalesce("p", F.lit(0.0)))), 6).alias("confidence"))
 
 
-@query("k18_set_correlation", "WITH s AS (SELECT l_suppkey AS s, list_distinct(list(l_partkey % 50)) AS p FROM lineitem WHERE l_suppkey <= 40 GROUP BY 1) SELECT a.s AS s1, b.s AS s2, round((len(list_intersect(a.p, b.p)) * 1.0 / len(list_distinct(list_concat(a.p, b.p))) + len(list_intersect(a.p, b.p)) * 1.0 / least(len(a.p), len(b.p))) / 2, 6) AS r FROM s a JOIN s b ON a.s < b.s")
+MONTHS = "m AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS s, o_custkey AS c FROM orders), n AS (SELECT s, count(*) AS n FROM m GROUP BY s), b AS (SELECT x.s AS s1, y.s AS s2, count(*) AS both_ FROM m x JOIN m y ON x.c = y.c AND x.s < y.s GROUP BY 1, 2)"
+
+
+@query("k18_set_correlation", f"WITH {MONTHS} SELECT s1, s2, round((both_ * 1.0 / (p.n + q.n - both_) + both_ * 1.0 / least(p.n, q.n)) / 2, 6) AS r FROM b JOIN n p ON s1 = p.s JOIN n q ON s2 = q.s")
 def _(t):
-    # forty sources: the pairs are of sources, as the report asks
-    s = t("lineitem").where("l_suppkey <= 40").groupBy(F.col("l_suppkey").alias("s")).agg(F.collect_set(F.pmod("l_partkey", F.lit(50))).alias("p"))
-    x = s.alias("a").join(s.alias("b"), F.expr("a.s < b.s"))
-    both = F.size(F.array_intersect("a.p", "b.p"))
-    return x.select(F.col("a.s").alias("s1"), F.col("b.s").alias("s2"), F.round((both / F.size(F.array_union("a.p", "b.p")) + both / F.least(F.size("a.p"), F.size("b.p"))) / 2, 6).alias("r"))
+    # sources are months, their members customers; sources meet through shared members, so that no pair without any is made
+    m = t("orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("s"), F.col("o_custkey").alias("c")).distinct()
+    n = m.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    b = m.toDF("s1", "c").join(m.toDF("s2", "c"), "c").where("s1 < s2").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("both"))
+    b = b.join(n.toDF("s1", "n1"), "s1").join(n.toDF("s2", "n2"), "s2")
+    return b.select("s1", "s2", F.round((F.col("both") / (F.col("n1") + F.col("n2") - F.col("both")) + F.col("both") / F.least("n1", "n2")) / 2, 6).alias("r"))

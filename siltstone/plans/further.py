@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 from siltstone.functions import text as X
 from siltstone.operators import graph as G
 from siltstone.operators import relational as R
-from siltstone.plans.graphs import N, _nations
+from siltstone.plans.graphs import N, _chain
 from siltstone.plans.more import project
 from siltstone.registry import query
 
@@ -31,20 +31,20 @@ def _(t):
     return s.select("conv_id", "turn", F.round(F.greatest(F.lit(0.1), 1 - F.coalesce(best, F.lit(0.0))), 6).alias("novelty"))
 
 
-@query("k10_pair_contradiction", f"WITH {SETS} SELECT a.conv_id, a.turn AS turn_a, b.turn AS turn_b, round(0.4 * {JAC}, 6) AS score FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE {JAC} > 0.2")
+@query("k10_pair_contradiction", f"WITH {SETS} SELECT a.conv_id, a.turn AS turn_a, b.turn AS turn_b, round(0.4 * {JAC}, 6) AS score FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE {JAC} > 0.05")
 def _(t):
     s = _sets(t)
     p = s.alias("a").join(s.alias("b"), F.expr("a.conv_id = b.conv_id and a.turn < b.turn"))
     j = X.jaccard(F.col("a.w"), F.col("b.w"))
-    return p.where(j > 0.2).select("a.conv_id", F.col("a.turn").alias("turn_a"), F.col("b.turn").alias("turn_b"), F.round(0.4 * j, 6).alias("score"))
+    return p.where(j > 0.05).select("a.conv_id", F.col("a.turn").alias("turn_a"), F.col("b.turn").alias("turn_b"), F.round(0.4 * j, 6).alias("score"))
 
 
-@query("k13_evidence_binding", f"WITH {SETS}, p AS (SELECT a.conv_id, a.turn AS claim, b.turn AS evidence, {JAC} AS j FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) SELECT conv_id, claim, evidence, round(j, 6) AS score FROM p WHERE j > 0.1")
+@query("k13_evidence_binding", f"WITH {SETS}, p AS (SELECT a.conv_id, a.turn AS claim, b.turn AS evidence, {JAC} AS j FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) SELECT conv_id, claim, evidence, round(j, 6) AS score FROM p WHERE j > 0.04")
 def _(t):
     w = Window.partitionBy("conv_id").orderBy("turn")
     s = _sets(t).withColumn("next", F.lead(F.struct("turn", "w")).over(w)).where(F.col("next.turn") == F.col("turn") + 1)
     j = X.jaccard(F.col("w"), F.col("next.w"))
-    return s.where(j > 0.1).select("conv_id", F.col("turn").alias("claim"), F.col("next.turn").alias("evidence"), F.round(j, 6).alias("score"))
+    return s.where(j > 0.04).select("conv_id", F.col("turn").alias("claim"), F.col("next.turn").alias("evidence"), F.round(j, 6).alias("score"))
 
 
 @query("w10_truncating_budget", "SELECT conv_id, turn, CAST(least(c, 150 - (r - c)) AS BIGINT) AS tokens FROM (SELECT conv_id, turn, length(text) // 4 AS c, sum(length(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r - c < 150 AND (r <= 150 OR 150 - (r - c) > 50)")
@@ -61,7 +61,11 @@ def _(t):
     return R.prefix_budget(d, ["source"], ["n_chars", "doc_id"], F.floor(F.col("n_chars") / 4), 2000).select("source", "doc_id")
 
 
-@query("w12_dual_budget")
+GREEDY = """WITH RECURSIVE {rows}, s AS (SELECT k, n, id, c, c <= {budget} AS took, CASE WHEN c <= {budget} THEN c ELSE 0 END AS used FROM o WHERE n = 1
+UNION ALL SELECT o.k, o.n, o.id, o.c, s.used + o.c <= {budget}, CASE WHEN s.used + o.c <= {budget} THEN s.used + o.c ELSE s.used END FROM s JOIN o ON o.k = s.k AND o.n = s.n + 1)"""
+
+
+@query("w12_dual_budget", GREEDY.format(rows="o AS (SELECT coalesce(lang, '-') || '|' || source AS k, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n, doc_id AS id, n_chars // 4 AS c FROM documents)", budget=2000) + ", " + GREEDY.format(rows="o2 AS (SELECT coalesce(lang, '-') AS k, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, doc_id AS id, n_chars // 4 AS c FROM documents WHERE doc_id IN (SELECT id FROM s WHERE took))", budget=20000).replace("WITH RECURSIVE ", "").replace(" s AS", " s2 AS").replace("FROM o ", "FROM o2 ").replace("FROM s JOIN o ON o.k = s.k AND o.n = s.n + 1", "FROM s2 JOIN o2 ON o2.k = s2.k AND o2.n = s2.n + 1").replace("SELECT o.k, o.n, o.id, o.c, s.used + o.c", "SELECT o2.k, o2.n, o2.id, o2.c, s2.used + o2.c").replace("WHEN s.used + o.c", "WHEN s2.used + o2.c").replace("THEN s.used + o.c ELSE s.used", "THEN s2.used + o2.c ELSE s2.used") + " SELECT lang, source, doc_id, CAST(n_chars // 4 AS BIGINT) AS cost FROM documents WHERE doc_id IN (SELECT id FROM s2 WHERE took)")
 def _(t):
     """Rows that fit both the source's budget and the language's, each in order, others skipped."""
     d = t("documents").select("lang", "source", "doc_id", F.floor(F.col("n_chars") / 4).alias("cost"))
@@ -76,11 +80,7 @@ def _(t):
 
 @query("w19_nearest_lower_depth", "SELECT a.conv_id, a.turn, max(b.turn) AS parent FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn AND length(b.text) < length(a.text) GROUP BY 1, 2")
 def _(t):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    c = t("conversations").select("conv_id", "turn", F.length("text").alias("depth"))
-    c = c.withColumn("before", F.collect_list(F.struct("turn", "depth")).over(w))
-    lower = F.filter("before", lambda p: p["depth"] < F.col("depth"))
-    return c.select("conv_id", "turn", F.array_max(F.transform(lower, lambda p: p["turn"])).alias("parent"))
+    return R.nearest_lower(t("conversations").select("conv_id", "turn", F.length("text").alias("depth")), "conv_id", "turn", "depth")
 
 
 @query("a13_graph_type_histograms", "SELECT 'out' AS side, l_returnflag AS kind, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'in', l_linestatus, count(*) FROM lineitem GROUP BY 2")
@@ -96,10 +96,12 @@ def _(t):
 
 @query("a31_moving_average", "WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), r AS (SELECT user_id, n, value AS ema FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.n, 0.1 * o.value + 0.9 * r.ema FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1) SELECT user_id, round(arg_max(ema, n), 6) AS ema FROM r GROUP BY user_id")
 def _(t):
-    seq = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
-    g = t("events").groupBy("user_id").agg(seq.alias("s"))
-    fold = F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.element_at("s", 1)["value"], lambda acc, x: 0.1 * x["value"] + 0.9 * acc)
-    return g.select("user_id", F.round(fold, 6).alias("ema"))
+    # a weighted sum: 0.1 * 0.9^(rows after) each, the first row without the 0.1; weights below 1e-300 are zero
+    w = Window.partitionBy("user_id")
+    n = F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id"))) - 1
+    e = t("events").select("user_id", "value", n.alias("after"), F.count(F.lit(1)).over(w).alias("of"))
+    weight = F.pow(F.lit(0.9), F.col("after")) * F.when(F.col("after") + 1 == F.col("of"), 1.0).otherwise(0.1)
+    return e.groupBy("user_id").agg(F.round(F.sum(weight * F.col("value")), 6).alias("ema"))
 
 
 @query("v10_tfidf_top_terms", r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS tf FROM w GROUP BY 1, 2), d AS (SELECT w, count(*) AS df FROM c GROUP BY w) SELECT doc_id, round(max(tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1)), 6) AS best FROM c JOIN d USING (w) GROUP BY doc_id")
@@ -121,13 +123,13 @@ def _(t):
 
 @query("g7_component_statistics", f"WITH RECURSIVE {N}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node), c AS (SELECT node, min(root) AS root FROM r GROUP BY node) SELECT root, count(*) AS size FROM c GROUP BY root")
 def _(t):
-    e = _nations(t)
+    e = _chain(t)
     return G.connected(e).groupBy("root").agg(F.count("*").alias("size"))
 
 
 @query("g9_label_propagation")
 def _(t):
-    return G.label_propagation(_nations(t), 5)
+    return G.label_propagation(_chain(t), 5)
 
 
 @query("n2_overlap_resolution")
@@ -196,11 +198,11 @@ def _(t):
     return p.select("doc_id", F.col("idx").cast("long").alias("idx"), score.alias("score")).where("score >= 0.5")
 
 
-@query("e7_citation_precision", f"WITH {SETS} SELECT a.conv_id, round(avg(CASE WHEN {JAC} > 0.2 THEN 1.0 ELSE 0 END), 6) AS precision_ FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 GROUP BY 1")
+@query("e7_citation_precision", f"WITH {SETS} SELECT a.conv_id, round(avg(CASE WHEN {JAC} > 0.04 THEN 1.0 ELSE 0 END), 6) AS precision_ FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 GROUP BY 1")
 def _(t):
     w = Window.partitionBy("conv_id").orderBy("turn")
     s = _sets(t).withColumn("next", F.lead(F.struct("turn", "w")).over(w)).where(F.col("next.turn") == F.col("turn") + 1)
-    return s.groupBy("conv_id").agg(F.round(F.avg((X.jaccard(F.col("w"), F.col("next.w")) > 0.2).cast("double")), 6).alias("precision_"))
+    return s.groupBy("conv_id").agg(F.round(F.avg((X.jaccard(F.col("w"), F.col("next.w")) > 0.04).cast("double")), 6).alias("precision_"))
 
 
 @query("m10_threshold_compliance", "SELECT user_id, round(avg(CASE WHEN value >= 10 THEN 1.0 ELSE 0 END), 6) AS share, CASE WHEN avg(CASE WHEN value >= 10 THEN 1.0 ELSE 0 END) >= 0.8 THEN 'passed' ELSE 'failed' END AS status FROM events GROUP BY user_id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from siltstone.operators import relational as R
-from siltstone.plans.graphs import N, _nations
+from siltstone.plans.graphs import N, _chain
+from siltstone.plans.statements import doubles
 from siltstone.registry import query
 
 SHINGLES = r"(SELECT doc_id, list_filter(string_split_regex(lower(trim(text)), '\s+'), lambda x: x <> '') AS w FROM documents)"
@@ -13,7 +14,7 @@ SHINGLES = r"(SELECT doc_id, list_filter(string_split_regex(lower(trim(text)), '
 
 def project(name: str, table: str, key: str, column: str, expression: str, sql: str | None = None) -> None:
     """A projection whose expression is the same SQL text in both engines, or has a text of its own for the other."""
-    query(name, f"SELECT {key}, {sql or expression} AS {column} FROM {table}")(lambda t: t(table).selectExpr(*key.split(", "), f"{expression} as {column}"))
+    query(name, f"SELECT {key}, {doubles(sql or expression)} AS {column} FROM {table}")(lambda t: t(table).selectExpr(*key.split(", "), f"{doubles(expression)} as {column}"))
 
 
 # -- near-duplicate groups ---------------------------------------------------------------------
@@ -69,7 +70,7 @@ def _(t):
 
 @query("g3_two_hop_neighbourhood", f"WITH {N}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e) SELECT a, b FROM u UNION SELECT x.a, y.b FROM u x JOIN u y ON x.b = y.a WHERE x.a <> y.b")
 def _(t):
-    e = _nations(t)
+    e = _chain(t)
     u = e.toDF("a", "b").union(e.select(F.col("dst"), F.col("src"))).distinct()
     two = u.alias("x").join(u.alias("y"), F.expr("x.b = y.a and x.a <> y.b")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
     return u.union(two).distinct()
@@ -78,7 +79,7 @@ def _(t):
 @query("g5_walks_to_depth_3", f"WITH {N}, p1 AS (SELECT src AS a, dst AS b, 1 AS c FROM e), p2 AS (SELECT a, dst AS b, sum(c) AS c FROM p1 JOIN e ON b = src GROUP BY 1, 2), p3 AS (SELECT a, dst AS b, sum(c) AS c FROM p2 JOIN e ON b = src GROUP BY 1, 2) SELECT a, b, CAST(sum(c) AS BIGINT) AS walks FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) GROUP BY 1, 2")
 def _(t):
     # walks are counted at each step, not listed
-    e = _nations(t)
+    e = _chain(t)
     step = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).cast("long").alias("c"))
     out = step
     for _i in range(2):
@@ -125,10 +126,10 @@ def _(t):
     return t("events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("value", "event_id")).alias("base"), F.round(F.sum(sec * F.col("value")) / F.nullif(F.sum("value"), F.lit(0.0)), 0).alias("at"))
 
 
-@query("m6_base_claim_confidence", "SELECT l_orderkey, round(greatest(0.1, least(0.9, 0.4 * least(count(*) / 3.0, 1.0) + 0.3 * least(count(DISTINCT l_suppkey) / 3.0, 1.0) + 0.3 * avg(least(l_quantity / 20.0, 1.0) * l_discount * 10))), 6) AS confidence FROM lineitem GROUP BY l_orderkey")
+@query("m6_base_claim_confidence", "SELECT l_orderkey, floor(greatest(0.1e0, least(0.9e0, 0.4e0 * least(count(*) / 3e0, 1e0) + 0.3e0 * least(count(DISTINCT l_suppkey) / 3e0, 1e0) + 0.3e0 * sum(CAST(round(least(l_quantity, 20) * l_discount * 100) AS BIGINT)) / (200e0 * count(*)))) * 1e6 + 0.25e0) / 1e6 AS confidence FROM lineitem GROUP BY l_orderkey")
 def _(t):
-    c = 0.4 * F.least(F.count("*") / 3.0, F.lit(1.0)) + 0.3 * F.least(F.countDistinct("l_suppkey") / 3.0, F.lit(1.0)) + 0.3 * F.avg(F.least(F.col("l_quantity") / 20.0, F.lit(1.0)) * F.col("l_discount") * 10)
-    return t("lineitem").groupBy("l_orderkey").agg(F.round(F.greatest(F.lit(0.1), F.least(F.lit(0.9), c)), 6).alias("confidence"))
+    c = 0.4 * F.least(F.count("*") / 3.0, F.lit(1.0)) + 0.3 * F.least(F.countDistinct("l_suppkey") / 3.0, F.lit(1.0)) + 0.3 * F.sum(F.round(F.least(F.col("l_quantity"), F.lit(20.0)) * F.col("l_discount") * 100).cast("long")) / (200.0 * F.count("*"))
+    return t("lineitem").groupBy("l_orderkey").agg((F.floor(F.greatest(F.lit(0.1), F.least(F.lit(0.9), c)) * 1e6 + 0.25) / 1e6).alias("confidence"))
 
 
 @query("m7_tuning_argmax", "SELECT event_type, arg_min(user_id, (m, user_id)) AS best FROM (SELECT event_type, user_id, round(avg(value), 6) AS m FROM events GROUP BY 1, 2) WHERE m > 10 GROUP BY event_type")
@@ -137,9 +138,9 @@ def _(t):
     return g.groupBy("event_type").agg(F.min_by("user_id", F.struct("m", "user_id")).alias("best"))
 
 
-@query("m8_merge_by_url", "SELECT k, min(page_id) AS first_id, count(*) AS n FROM (SELECT coalesce(nullif(lower(trim(url)), ''), CAST(page_id AS VARCHAR)) AS k, page_id FROM pages) GROUP BY k")
+@query("m8_merge_by_url", "SELECT k, min(page_id) AS first_id, count(*) AS n FROM (SELECT coalesce(nullif(regexp_extract(lower(trim(url)), '^https?://([^?#]*/[a-z]+)/', 1), ''), CAST(page_id AS VARCHAR)) AS k, page_id FROM pages) GROUP BY k")
 def _(t):
-    k = F.coalesce(F.nullif(F.lower(F.trim("url")), F.lit("")), F.col("page_id").cast("string"))
+    k = F.coalesce(F.nullif(F.regexp_extract(F.lower(F.trim("url")), "^https?://([^?#]*/[a-z]+)/", 1), F.lit("")), F.col("page_id").cast("string"))
     return t("pages").groupBy(k.alias("k")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
 
 
@@ -184,7 +185,8 @@ def _(t):
 
 # -- projections -----------------------------------------------------------------------------------
 
-project("f11_url_date", "pages", "page_id", "y", r"regexp_extract(url, '/([0-9]{4})[/-][0-9]{1,2}[/-][0-9]{1,2}', 1)")
+URL = "CASE WHEN o_orderstatus = 'F' THEN concat('http://news.example/', {}, '/a.html') ELSE concat('http://news.example/', CAST(o_orderkey AS {}), '/a.html') END"
+project("f11_url_date", "orders", "o_orderkey", "d", f"regexp_extract({URL.format("date_format(o_orderdate, 'yyyy/MM/dd')", "STRING")}, '/([0-9]{{4}}[/-][0-9]{{1,2}}[/-][0-9]{{1,2}})', 1)", f"regexp_extract({URL.format("strftime(o_orderdate, '%Y/%m/%d')", "VARCHAR")}, '/([0-9]{{4}}[/-][0-9]{{1,2}}[/-][0-9]{{1,2}})', 1)")
 project("f22_entity_normalisation", "customer", "c_custkey", "form", "trim(regexp_replace(lower(c_name), '^(mr|dr|customer)[ #.]*', ''))")
 project("f24_entity_id", "supplier", "s_suppkey", "id", "md5(concat(lower(trim(s_name)), '|', 'ORG'))")
 project("f43_discourse_type", "documents", "doc_id", "kind", "CASE WHEN text LIKE '#%' THEN 'heading' WHEN text LIKE '- %' OR text LIKE '* %' THEN 'list' WHEN text LIKE '%[1]%' THEN 'citation_heavy' WHEN lower(text) LIKE '%the%' THEN 'argumentative' ELSE 'narrative' END")
@@ -193,6 +195,6 @@ project("r21_temporal_rerank", "orders", "o_orderkey", "score", "round(0.7 * o_t
 project("r22_criteria_rerank", "part", "p_partkey", "score", "round(0.4 * p_size / 50.0 + 0.3 * p_retailprice / 2500.0 + 0.2 * CASE WHEN p_brand < 'Brand#3' THEN 1 ELSE 0 END + 0.1 * least(1.0, length(p_name) / 40.0), 6)")
 project("k1_direct_contradiction", "documents", "doc_id", "score", "round(CASE WHEN lower(text) LIKE '%the%' AND lower(text) LIKE '%not%' THEN 0.3 ELSE 0.0 END + CASE WHEN lower(text) LIKE '%and%' AND lower(text) LIKE '%or%' THEN 0.3 ELSE 0.0 END, 6)")
 project("q11_overall_credibility", "part", "p_partkey", "score", "round(0.3 * p_size / 50.0 + 0.4 * CASE WHEN p_brand < 'Brand#3' THEN 0.8 ELSE 0.5 END + 0.2 * least(1.0, p_retailprice / 2000.0) + 0.1 * (1 - p_size / 100.0), 6)")
-project("m5_lexical_conflict", "documents", "doc_id", "score", "round(least(1.0, 0.1 * CASE WHEN lower(text) LIKE '%but%' THEN 1 ELSE 0 END + 0.1 * CASE WHEN lower(text) LIKE '%however%' THEN 1 ELSE 0 END + 0.2 * CASE WHEN lower(text) LIKE '%not the%' THEN 1 ELSE 0 END), 6)")
+project("m5_lexical_conflict", "documents", "doc_id", "score", "round(least(1.0, 0.1 * CASE WHEN lower(text) LIKE '% und %' THEN 1 ELSE 0 END + 0.1 * CASE WHEN lower(text) LIKE '% que %' THEN 1 ELSE 0 END + 0.2 * CASE WHEN lower(text) LIKE '% the %' THEN 1 ELSE 0 END), 6)")
 project("m12_investigation_confidence", "lineitem", "l_orderkey, l_linenumber", "c", "round(greatest(0.0, least(1.0, 0.3 * l_discount * 10 + 0.25 * l_tax * 10 + 0.25 * l_quantity / 50.0 + 0.2 * least(l_extendedprice / 50000.0, 1.0))), 6)")
 project("m13_coalesced_identifier", "events", "event_id", "id", "coalesce(nullif(get_json_object(props, '$.id'), ''), nullif(get_json_object(props, '$.k'), ''), event_type)", "coalesce(nullif(json_extract_string(props, '$.id'), ''), nullif(json_extract_string(props, '$.k'), ''), event_type)")

@@ -110,9 +110,9 @@ def _(t):
     return found.select("k", "o_orderkey", F.col("match.event_id").alias("event_id"))
 
 
-@query("j17_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("j17_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def _(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t("customer").join(t("orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("j10_source_pairs", "WITH s AS (SELECT DISTINCT source FROM documents) SELECT a.source AS source_a, b.source AS source_b FROM s a JOIN s b ON a.source < b.source")
@@ -158,7 +158,13 @@ def _(t):
     return R.prefix_budget(c, ["conv_id"], ["turn"], F.col("cost"), 200).select("conv_id", "turn", "running")
 
 
-@query("w9_greedy_budget")
+@query(
+    "w9_greedy_budget",
+    """WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) // 4 AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+    s AS (SELECT conv_id, turn, n, c, c <= 200 AS took, CASE WHEN c <= 200 THEN c ELSE 0 END AS used FROM o WHERE n = 1
+    UNION ALL SELECT o.conv_id, o.turn, o.n, o.c, s.used + o.c <= 200, CASE WHEN s.used + o.c <= 200 THEN s.used + o.c ELSE s.used END FROM s JOIN o ON o.conv_id = s.conv_id AND o.n = s.n + 1)
+    SELECT conv_id, turn, CAST(c AS BIGINT) AS cost FROM s WHERE took""",
+)
 def _(t):
     c = t("conversations").select("conv_id", "turn", F.floor(F.length("text") / 4).alias("cost"))
     return R.greedy_budget(c, ["conv_id"], "turn", "cost", 200)

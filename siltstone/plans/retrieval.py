@@ -21,15 +21,15 @@ def _(t):
     return V.top_k(t("embeddings"), _queries(t), "vec_id", "embedding", 10)
 
 
-@query("v3_top_k_threshold", f"SELECT * FROM ({TOP} WHERE rank <= 10) WHERE score >= 0.5")
+@query("v3_top_k_threshold", f"SELECT * FROM ({TOP} WHERE rank <= 10) WHERE score >= 0.3")
 def _(t):
-    return V.top_k(t("embeddings"), _queries(t), "vec_id", "embedding", 10, 0.5)
+    return V.top_k(t("embeddings"), _queries(t), "vec_id", "embedding", 10, 0.3)
 
 
-@query("v4_relevance_label", f"SELECT query_id, key, CASE WHEN score > 0.8 THEN 'high' ELSE 'medium' END AS label FROM ({TOP} WHERE rank <= 5) WHERE score >= 0.7")
+@query("v4_relevance_label", f"SELECT query_id, key, CASE WHEN score > 0.35 THEN 'high' ELSE 'medium' END AS label FROM ({TOP} WHERE rank <= 5) WHERE score >= 0.25")
 def _(t):
-    best = V.top_k(t("embeddings"), _queries(t), "vec_id", "embedding", 5, 0.7)
-    return best.select("query_id", "key", F.when(F.col("score") > 0.8, "high").otherwise("medium").alias("label"))
+    best = V.top_k(t("embeddings"), _queries(t), "vec_id", "embedding", 5, 0.25)
+    return best.select("query_id", "key", F.when(F.col("score") > 0.35, "high").otherwise("medium").alias("label"))
 
 
 TERMS = ["the", "und", "que", "de"]

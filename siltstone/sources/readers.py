@@ -90,6 +90,11 @@ def _warc(data: bytes):
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of .warc and .warc.gz files; a file is one task's work, read in full by Spark's file source."""
+    return warc_records(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def warc_records(files: DataFrame) -> DataFrame:
+    """One row for each record of (path, content): whole files, or their members."""
 
     def run(frames):
         for pdf in frames:
@@ -106,4 +111,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name, at, head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), status, headers, body))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in WARC_SCHEMA.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, WARC_SCHEMA)
+    return files.mapInPandas(run, WARC_SCHEMA)

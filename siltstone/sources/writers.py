@@ -4,13 +4,26 @@ from __future__ import annotations
 
 import gzip
 import io
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltstone.operators.relational import first_per
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder in spark.checkpoint.dir, which the driver and all executors share."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
+        folder = sc.getCheckpointDir()
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "append") -> None:
     """One tree of nested partitions; rows of one partition value are gathered first, so that files are few."""
     df.repartition(*[F.col(c) for c in by]).write.mode(mode).partitionBy(*by).parquet(path)
