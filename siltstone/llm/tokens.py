@@ -18,7 +18,7 @@ import pyarrow as pa
 from siltstone.llm.common import LONG_SPAN, lower_ascii, span_hashes, text_bytes
 
 #: Pieces, and their bytes, that a process remembers before it starts anew; bounds memory, not results.
-MEMO, MEMO_BYTES = 400_000, 16 << 20
+MEMO, MEMO_BYTES = 800_000, 24 << 20
 #: Pieces that go to the library at once.
 LEARNED = 20_000
 _GAPS = np.zeros(256, bool)
@@ -61,21 +61,27 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _library(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of each piece. Pieces that are one word to the library go in one call, parted by word ends."""
-        out: list = [None] * len(pieces)
-        single = [i for i, p in enumerate(pieces) if p.isalpha() and max(p) < "ɐ" and (p.isascii() or unicodedata.is_normalized("NFC", p))]
-        for a in range(0, len(single), 2000):
-            block = single[a : a + 2000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(pieces[i] for i in block)], add_special_tokens=False)[0].ids, np.uint32)
+    def _library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start of each piece's, number of each piece's). Pieces that are one word to the library go in one call, parted by word ends."""
+        starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        single = [i for i, p in enumerate(pieces) if p.isalpha() and (p.isascii() or max(p) < "ɐ" and unicodedata.is_normalized("NFC", p))]
+        parts, used, rest = [], 0, np.ones(len(pieces), bool)
+        for a in range(0, len(single), 4000):
+            block = single[a : a + 4000]
+            ids = np.array(self.library.encode_batch_fast([" ".join([pieces[i] for i in block])], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(block) and ends[-1] == len(ids):
-                for i, part in zip(block, np.split(ids, ends[:-1])):
-                    out[i] = part
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32)
-        return out
+                rest[block] = False
+                sizes[block] = np.diff(ends, prepend=0)
+                starts[block] = used + ends - sizes[block]
+                parts.append(ids)
+                used += len(ids)
+        left = np.flatnonzero(rest).tolist()
+        for i, e in zip(left, self.library.encode_batch_fast([pieces[i] for i in left], add_special_tokens=False)):
+            parts.append(np.array(e.ids, np.uint32))
+            starts[i], sizes[i] = used, len(e.ids)
+            used += len(e.ids)
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), starts, sizes
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
@@ -84,23 +90,20 @@ class Encoder:
         return at, self.keys[at] == keys
 
     def _learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
-        found = self._library([p.decode("utf-8", "replace") for p in raw])
+        ids, starts, sizes = self._library([p.decode("utf-8", "replace") for p in raw])
         joined = np.frombuffer(b"".join(raw), np.uint8)
         top = int(self.at[-1])
         while top + len(joined) + 8 > len(self.bytes):
             self.bytes = np.concatenate((self.bytes, np.zeros(len(self.bytes), np.uint8)))
         self.bytes[top : top + len(joined)] = joined
         self.at = np.concatenate((self.at, top + np.cumsum([len(p) for p in raw])))
-        sizes = np.array([len(x) for x in found], np.int64)
-        total = int(sizes.sum())
-        while self.used + total > len(self.ids):
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint32)))
-        if total:
-            self.ids[self.used : self.used + total] = np.concatenate(found)
-        self.starts = np.concatenate((self.starts, self.used + np.cumsum(sizes) - sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts = np.concatenate((self.starts, self.used + starts))
         self.sizes = np.concatenate((self.sizes, sizes))
         slots = np.arange(len(self.starts) - len(keys), len(self.starts))
-        self.used += total
+        self.used += len(ids)
         at = np.searchsorted(self.keys, keys)
         self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, slots)
 
