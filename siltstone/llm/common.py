@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -166,6 +167,14 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return out
 
 
+def _trim() -> None:
+    """Give freed memory back to the machine: a worker outlives its tasks, and others share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """The batch in runs of rows of about `most` text bytes, so that working arrays stay small."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -175,6 +184,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(sizes)]))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         yield batch.slice(a, b - a)
+    _trim()
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -189,21 +189,124 @@ def test_language(spark):
     assert [odd[i] for i in range(3)] == ["und"] * 3 and odd[3] != "und"
 
 
-def test_suffix_automaton_phrases():
+@pytest.mark.parametrize("block", [3, 16, 256])
+def test_suffix_automaton_phrases(monkeypatch, block):
     import numpy as np
 
-    data = b"banana bandana"
-    automaton = langid.suffix_automaton(data)
-    for text in (b"banana", b"nanab", b"xyz", b"dana banb", b""):
-        n, i = 0, 0
-        while i < len(text):
-            j = i
-            while j < len(text) and text[i : j + 1] in data:
-                j += 1
-            i = max(j, i + 1)
-            n += 1
-        got = langid.phrases(np.frombuffer(text, np.uint8), np.array([0, len(text)]), automaton)
-        assert abs(int(got[0]) - n) <= (b"x" in text) * len(text) and (b"x" in text or got[0] == n)
+    monkeypatch.setattr(langid, "BLOCK", block)
+    rng = random.Random(block)
+    for _ in range(60):
+        data = bytes(rng.choice(b"abcd ") for _ in range(rng.choice([5, 50, 600])))
+        texts = [bytes(rng.choice(b"abcd x") for _ in range(rng.choice([0, 1, 7, 300, 900]))) for _ in range(4)]
+        texts.append((data * 4)[rng.randrange(5) :] + texts[0])
+        want = []
+        for text in texts:
+            n, i = 0, 0
+            while i < len(text):
+                j = i
+                while j < len(text) and text[i : j + 1] in data:
+                    j += 1
+                i = max(j, i + 1)
+                n += 1
+            want.append(n)
+        bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        assert langid.phrases(np.frombuffer(b"".join(texts), np.uint8), bounds, langid.suffix_automaton(data)).tolist() == want
+
+
+def test_models_do_not_depend_on_partitions(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    a, b = (langid.fit(docs.repartition(n)) for n in (1, 7))
+    assert a.keys() == b.keys() and all((a[k][1] == b[k][1]).all() for k in a)
+    a, b = (toxicity.fit(docs.repartition(n), labels.repartition(n)) for n in (1, 7))
+    assert a.lexicon.terms == b.lexicon.terms and (a.weights == b.weights).all()
+    assert rules.fit(docs.repartition(1), labels) == rules.fit(docs.repartition(7), labels)
+
+
+def test_language_of_short_texts(spark):
+    rng = random.Random(4)
+    en = "the and of with that this from they have been would there their which about could other".split()
+    fr = "les des est pas que pour dans sur avec plus tout nous vous elle cette leur aussi".split()
+    texts = [" ".join(rng.choice(fr) for _ in range(5)) for _ in range(60)] + [" ".join(rng.choice(en) for _ in range(80)) for _ in range(60)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(frame(spark, texts, langs=["fr"] * 60 + ["en"] * 60)).collect()}
+    assert sum(got[i] == ("fr" if i < 60 else "en") for i in range(120)) >= 117
+    many = [f"text of language number {i} and more" for i in range(200)]
+    assert len(langid.fit(frame(spark, many, ids=[3 * i for i in range(200)], langs=[f"l{i % 100}" for i in range(200)]))) > 64
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_hashes_of_swapped_words(spark):
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    row = rules.apply_rules(frame(spark, [f"{a}\n{b}\n{a}"]), []).collect()[0]
+    assert row.n_dup_lines == 1
+    got = [r.component_id for r in ngram_join.similar_components(frame(spark, [a, b, a])).orderBy("doc_id").collect()]
+    assert got == [0, 1, 0]
+
+
+def test_twin_prints_are_told_apart():
+    import numpy as np
+
+    u = lambda *x: np.array(x, np.uint64)
+    assert ngram_join._named(u(1, 1, 2), u(5, 6, 7), u(1)).tolist() == [1 ^ 5, 1 ^ 6, 2]
+    assert ngram_join._named(u(1, 1, 2), u(5, 6, 7), u()).tolist() == [1, 1, 2]
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 2_000)
+    texts = near_copies(21, base_words=120, groups=2, copies=300)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_components(frame(spark, texts)).collect()}
+    _, roots = brute_components(texts)
+    assert [got[i] for i in range(len(texts))] == roots
+
+
+def test_divide_skip():
+    rng = random.Random(8)
+    for _ in range(300):
+        parts = [sorted(rng.sample(range(40), rng.randrange(1, 30))) for _ in range(rng.randrange(1, 9))]
+        least = rng.randrange(1, 6)
+        counts = Counter(x for p in parts for x in p)
+        assert {x: n for x, n in ngram_join._divide_skip(list(parts), least).items() if n >= least} == {x: n for x, n in counts.items() if n >= least}
+
+
+def test_keep_one_without_ids(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    near = base.replace("w40", "other")
+    docs = frame(spark, [base, near, "a text of its own kind here", near, "quite something else again today"], ids=[None, 5, None, None, 5])
+    kept = sorted((r.doc_id is None, r.text) for r in ngram_join.keep_one(docs).collect())
+    assert kept == sorted([(False, near), (True, "a text of its own kind here"), (False, "quite something else again today")])
+
+
+def test_models_without_both_labels(spark):
+    docs = frame(spark, ["some words of a text that is long enough for all of it", "other words"])
+    for value in (0, 1):
+        labels = spark.createDataFrame([(0, value, value), (1, value, value)], "doc_id long, toxic int, quality int")
+        assert [r.predicted for r in toxicity.score(docs, labels).collect()] == [0, 0]
+        assert rules.fit(docs, labels) == [] or value == 0
+    assert decontaminate.find(docs, docs.limit(0).select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+    one = merkle.audit(docs, docs.limit(0), "doc_id", ["text"]).collect()
+    assert {r.status for r in one} == {"missing"} and len(one) == 2
+
+
+def test_decontamination_with_clashing_names(spark):
+    docs = frame(spark, ["one two three four five six seven eight", "clean"]).withColumnRenamed("source", "i").withColumn("__id", F.lit(1))
+    items = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")
+    kept = decontaminate.keep_clean(docs, items)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels")).where("held_out").join(table(spark, sf, "labels"), "doc_id").select("predicted", "toxic").collect()
+    hits = sum(r.predicted and r.toxic for r in got)
+    precision, recall = hits / max(sum(r.predicted for r in got), 1), hits / max(sum(r.toxic for r in got), 1)
+    print(f"precision {precision:.2f}, recall {recall:.2f}")
+    assert recall >= 0.85 and precision >= 0.7
 
 
 def test_toxicity(spark):

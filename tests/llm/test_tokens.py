@@ -115,3 +115,55 @@ def test_shards(spark):
         loads[r.shard] += r.size
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert all(len(v) == 1 for k, v in texts.items() if k[0] > 1)
+
+
+def test_pieces_with_equal_hashes(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from siltstone.llm import tokens
+
+    real = tokens.span_hashes
+    monkeypatch.setattr(tokens, "span_hashes", lambda raw, a, b, seed=0: real(raw, a, b, seed) % np.uint64(5))
+    enc = tokens.Encoder(tokens.default_path())
+    texts = ["the cat sat on a mat", "dog eats a bone", "zebra", None, "", "a" * 400 + " " + "b" * 400, "the dog, the cat."] * 2
+    ids, counts = enc.encode(pa.array(texts, pa.string()))
+    for text, part in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert part.tolist() == enc.whole(text or "").tolist()
+
+
+def test_swapped_words_have_their_own_ids():
+    import numpy as np
+    import pyarrow as pa
+
+    from siltstone.llm import tokens
+
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    enc = tokens.Encoder(tokens.default_path())
+    ids, counts = enc.encode(pa.array([a, b]))
+    assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [enc.whole(a).tolist(), enc.whole(b).tolist()]
+
+
+def test_token_file_encodings(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from siltstone.llm import token_files, tokens
+
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('some words of text number ', id, repeat(' and more', 20)) as text").coalesce(1)
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(docs, path, tokens.default_path(), row_group_bytes=8 << 10, page_bytes=2 << 10)
+    meta = [pq.ParquetFile(f).metadata for f in glob.glob(path + "/*.parquet")]
+    columns = {c.path_in_schema: c for m in meta for g in range(m.num_row_groups) for c in [m.row_group(g).column(i) for i in range(m.num_columns)]}
+    assert any("DICTIONARY" in e for e in columns["tokens.list.element"].encodings) and any("DELTA" in e for e in columns["part_start"].encodings)
+    assert columns["doc_id"].has_column_index and columns["doc_id"].has_offset_index
+    assert max(m.num_row_groups for m in meta) > 1
+    some = token_files.read_tokens(spark, path, 1000, 1002)
+    assert sorted(r.doc_id for r in some.collect()) == [1000, 1001, 1002]
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,1000)" in some._jdf.queryExecution().toString()
+    assert "tokens:array" not in token_files.read_lengths(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert token_files.token_digests(spark, path).count() == 4000
