@@ -241,3 +241,77 @@ statement(
 statement("n9_provenance_chain", "SELECT o_orderkey, c_name, n_name, r_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey")
 statement("m2_findings_with_context", "SELECT doc_id, regexp_extract(text, '.{{0,40}}(worthless|idiot|stupid).{{0,40}}', 0) AS finding FROM {documents} WHERE regexp_like(text, '(worthless|idiot|stupid)')")
 statement("m11_placeholder_redaction", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[a-zA-Z0-9_.]+@[a-zA-Z0-9.]+', '[REDACTED_EMAIL]'/*g*/), '[0-9][0-9][0-9][- ][0-9][0-9][0-9][0-9]', '[REDACTED_PHONE]'/*g*/)) AS h FROM {documents}")
+
+# -- fuller forms --------------------------------------------------------------------------------------
+
+#: Formats of the cascade: Spark's, the other engine's.
+FORMATS = [("yyyy-MM-dd", "%Y-%m-%d"), ("dd/MM/yyyy", "%d/%m/%Y"), ("yyyyMMdd", "%Y%m%d"), ("dd.MM.yyyy", "%d.%m.%Y"), ("yyyy/MM/dd", "%Y/%m/%d"), ("dd MMM yyyy", "%d %b %Y"), ("MMM dd, yyyy", "%b %d, %Y"), ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"), ("MM_dd_yyyy", "%m_%d_%Y")]
+_made = lambda f: "CASE " + " ".join(f"WHEN o_orderkey % {len(FORMATS) + 1} = {i} THEN {f(i)}" for i in range(len(FORMATS))) + " ELSE 'no date' END"
+statement(
+    "f9_date_cascade_formats",
+    "SELECT o_orderkey, cast(coalesce(" + ", ".join(f"try_to_timestamp(s, '{a}')" for a, _ in FORMATS) + ") as date) AS d FROM (SELECT o_orderkey, " + _made(lambda i: f"date_format(o_orderdate, '{FORMATS[i][0]}')") + " AS s FROM {orders}) x",
+    "SELECT o_orderkey, CAST(coalesce(" + ", ".join(f"try_strptime(s, '{b}')" for _, b in FORMATS) + ") AS DATE) AS d FROM (SELECT o_orderkey, " + _made(lambda i: f"strftime(o_orderdate, '{FORMATS[i][1]}')") + " AS s FROM {orders}) x",
+)
+IDS = "CASE o_orderkey % 4 WHEN 0 THEN concat('see doi:10.', 1000 + o_orderkey % 9000, '/jour.', o_orderkey, ' there') WHEN 1 THEN concat('arXiv:2101.', 10000 + o_orderkey, 'v2') WHEN 2 THEN concat('PMID: ', o_orderkey * 7) ELSE 'none here 12' END"
+statement(
+    "f37_persistent_identifiers",
+    f"SELECT o_orderkey, regexp_extract(s, '(10[.][0-9]{{{{4,9}}}}/[a-zA-Z0-9./_-]+)', 1) AS doi, regexp_extract(s, 'arXiv:([0-9]{{{{4}}}}[.][0-9]{{{{4,5}}}})', 1) AS arxiv, regexp_extract(s, 'PMID: ?([0-9]+)', 1) AS pmid FROM (SELECT o_orderkey, {IDS} AS s FROM {{orders}}) x",
+)
+statement("r2_rrf_with_priors", f"WITH {RANKS} SELECT q, d, round((0.7 / (60 + a) + 0.3 / (60 + b)) * (1 + 0.2 * p_size / 50.0 + CASE WHEN p_brand = 'Brand#1' THEN 0.1 ELSE 0.0 END), 9) AS score FROM r JOIN {{part}} ON d = p_partkey")
+statement("r3_rrf_with_bonuses", f"WITH {RANKS} SELECT q, d, round(1.0 / (60 + a - 1) + 1.0 / (60 + b - 1) + CASE WHEN rel = 1 THEN 0.005 ELSE 0.0 END + 0.002 * p_size / 50.0, 9) AS score FROM r JOIN {{part}} ON d = p_partkey")
+statement(
+    "e4_binary_metrics",
+    f"""WITH {RANKS}, i AS (SELECT q, sum(rel) AS total FROM r GROUP BY q), m AS (SELECT q, sum(CASE WHEN a <= 10 THEN rel / ln(a + 1) * ln(2) ELSE 0.0 END) AS dcg, sum(CASE WHEN a <= 10 THEN rel ELSE 0 END) AS hits, min(CASE WHEN rel = 1 THEN a END) AS first_hit FROM r GROUP BY q),
+    g AS (SELECT i.q, sum(CASE WHEN a <= least(total, 10) THEN ln(2) / ln(a + 1) ELSE 0.0 END) AS ideal FROM r JOIN i ON r.q = i.q GROUP BY i.q)
+    SELECT m.q, round(dcg / nullif(ideal, 0), 6) AS ndcg, round(hits * 1.0 / nullif(total, 0), 6) AS recall, round(coalesce(1.0 / first_hit, 0.0), 6) AS reciprocal_rank FROM m JOIN g ON m.q = g.q JOIN i ON m.q = i.q""",
+)
+statement(
+    "a15_pattern_report",
+    f"SELECT 'category' AS kind, CASE WHEN {HITS('[*#%]')} > 0 THEN 'symbols' WHEN {HITS('[0-9]')} > 0 THEN 'digits' ELSE 'plain' END AS name, count(*) AS n FROM {{documents}} GROUP BY CASE WHEN {HITS('[*#%]')} > 0 THEN 'symbols' WHEN {HITS('[0-9]')} > 0 THEN 'digits' ELSE 'plain' END UNION ALL SELECT 'confidence', CASE WHEN {CONF} >= 0.8 THEN 'high' WHEN {CONF} >= 0.5 THEN 'medium' ELSE 'low' END, count(*) FROM {{documents}} GROUP BY CASE WHEN {CONF} >= 0.8 THEN 'high' WHEN {CONF} >= 0.5 THEN 'medium' ELSE 'low' END",
+)
+statement(
+    "a17_temporal_coverage",
+    "SELECT event_type, n, days, round(days * 1.0 / span, 6) AS coverage, round(age / 86400000000.0, 4) AS mean_age FROM (SELECT event_type, count(*) AS n, count(DISTINCT cast(ts as date)) AS days, floor((max(unix_micros(cast(ts as timestamp))) - min(unix_micros(cast(ts as timestamp)))) / 86400000000.0) + 1 AS span, 1706659200000000 - avg(unix_micros(cast(ts as timestamp))) AS age FROM {events} GROUP BY event_type) x",
+)
+statement("a18_script_distribution", "SELECT lang, count(*) AS n, count_if(regexp_like(text, '[à-ÿ]')) AS accented, count_if(regexp_like(text, '[0-9]')) AS with_digits, count_if(NOT regexp_like(text, '[^a-zA-Z .,]')) AS plain FROM {documents} GROUP BY lang")
+statement(
+    "a22_weighted_overall_five",
+    "SELECT user_id, round(0.3 * avg(least(value / 100.0, 1.0)) + 0.25 * avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) + 0.2 * avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END) + 0.15 * (1 - avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END)) + 0.1 * least(1.0, count(*) / 100.0), 6) AS overall FROM {events} GROUP BY user_id",
+)
+statement("a3_stats_by_source_type", "SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, max(doc_id) AS newest, round(avg(n_chars), 4) AS mean FROM {documents} GROUP BY source, lang")
+statement("a9_security_summary", "SELECT 'type' AS kind, event_type AS name, count(*) AS n FROM {events} GROUP BY event_type UNION ALL SELECT 'last', CAST(event_id AS STRING), 1 FROM (SELECT event_id FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 10) x")
+statement("m1_cost_per_claim", "SELECT o_orderpriority, o_orderkey, cost FROM (SELECT o_orderpriority, o_orderkey, cost, row_number() OVER (PARTITION BY o_orderpriority ORDER BY cost DESC, o_orderkey) AS n FROM (SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS cost FROM {lineitem} GROUP BY l_orderkey) x JOIN {orders} ON l_orderkey = o_orderkey) y WHERE n <= 10")
+statement("w4_snapshot_significance", "SELECT user_id, event_id, CASE WHEN abs(value - b) > 50 THEN 'major' WHEN abs(value - b) > 10 THEN 'minor' ELSE 'none' END AS significance FROM (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM {events}) x WHERE b IS NOT NULL")
+#: Groups of opposites.
+OPPOSITES = [("der", "die"), ("le", "la"), ("el", "los"), ("on", "in")]
+_side = lambda c, w: f"contains(' ' || lower({c}.text) || ' ', ' {w} ')"
+statement(
+    "k1_antonym_contradiction",
+    "SELECT a.conv_id, a.turn AS a, b.turn AS b, round(least(1.0, " + " + ".join(f"CASE WHEN {_side('a', x)} AND NOT {_side('a', y)} AND {_side('b', y)} AND NOT {_side('b', x)} THEN 0.3 ELSE 0.0 END" for p in OPPOSITES for x, y in (p, p[::-1]))
+    + "), 6) AS score FROM {conversations} a JOIN {conversations} b ON a.conv_id = b.conv_id AND a.turn < b.turn",
+)
+statement(
+    "q1_priority_components",
+    f"SELECT doc_id, round(0.15 * least(1.0, n_chars / 2000.0) + 0.15 * least(1.0, {HITS('the|und|que')} / 10.0) + 0.1 * CASE WHEN lang IS NOT NULL THEN 1.0 ELSE 0.0 END + 0.1 * least(1.0, {HITS('[.]')} / 20.0) + 0.1 * CASE WHEN source < 'src5' THEN 1.0 ELSE 0.5 END + 0.1 * least(1.0, {HITS('[0-9]')} / 5.0) + 0.1 * (1 - least(1.0, {HITS('[*#%|]')} / 10.0)) + 0.1 * least(1.0, {N_WORDS} / 300.0) + 0.05 * CASE WHEN contains(text, '?') THEN 1.0 ELSE 0.0 END + 0.05 * least(1.0, {HITS('[A-Z]')} / 10.0), 6) AS priority FROM {{documents}}",
+)
+
+
+def _minhash() -> None:
+    """128 permutations (a * h + b) mod 2^31 - 1 of 128-bit md5 values; the limbs of h fold by 2^32 = 2 modulo that prime."""
+    import numpy as np
+
+    p = 2**31 - 1
+    rng = np.random.RandomState(42)
+    a, b = rng.randint(1, p, 128).tolist(), rng.randint(0, p, 128).tolist()
+    words = "filter(split(lower(trim(text)), '[ \n\t\r]+'), x -> x <> '')"
+    rows = "WITH w AS (SELECT doc_id, {words} AS w FROM {{documents}}), s AS (SELECT doc_id, explode({grams}) AS g FROM w), m AS (SELECT doc_id, md5(g) AS m FROM s), h AS (SELECT doc_id, ({limbs}) % 2147483647 AS h FROM m) SELECT doc_id, {mins} FROM h GROUP BY doc_id"
+    mins = ", ".join(f"min(({x} * h + {y}) % 2147483647) AS h{i}" for i, (x, y) in enumerate(zip(a, b)))
+    limb = lambda f: " + ".join(f"{k} * {f(1 + 8 * i)}" for i, k in enumerate((8, 4, 2, 1)))
+    statement(
+        "d2_minhash_signature",
+        rows.format(words=words, grams="CASE WHEN size(w) >= 3 THEN array_distinct(transform(sequence(1, size(w) - 2), i -> concat_ws(' ', w[i - 1], w[i], w[i + 1]))) ELSE array(concat_ws(' ', w)) END", limbs=limb(lambda at: f"CAST(conv(substr(m, {at}, 8), 16, 10) AS BIGINT)"), mins=mins),
+        rows.format(words=other_text(words), grams="CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) ELSE [array_to_string(w, ' ')] END", limbs=limb(lambda at: f"CAST('0x' || substr(m, {at}, 8) AS BIGINT)"), mins=mins).replace("explode(", "unnest("),
+    )
+
+
+_minhash()
