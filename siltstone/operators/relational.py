@@ -97,6 +97,19 @@ def nearest_lower(df: DataFrame, key: str, order: str, depth: str) -> DataFrame:
     return _state_by_key(df.select(key, order, depth), [key], [order], step, f"{key} {kinds[key]}, {order} {kinds[order]}, parent {kinds[order]}")
 
 
+def anchored(df: DataFrame, key: str, ts: str, tie: str, seconds: int) -> DataFrame:
+    """key, ts, tie, anchor: in order of time a row that lies `seconds` or more after the anchor becomes the next anchor."""
+
+    def step(anchor, row):
+        at = row[1]
+        if anchor is None or (at - anchor).total_seconds() >= seconds:
+            anchor = at
+        return anchor, (*row, anchor)
+
+    kinds = dict(df.dtypes)
+    return _state_by_key(df.select(key, ts, tie), [key], [ts, tie], step, f"{key} {kinds[key]}, {ts} {kinds[ts]}, {tie} {kinds[tie]}, anchor {kinds[ts]}")
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, tie: list[str]) -> DataFrame:
     """Each left row with the right row of its keys nearest in time (ties: earlier, then `tie`), by two fills over one ordered union.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Window, functions as F
 
@@ -78,6 +76,25 @@ def _(t):
     return t("events").groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+ANCHOR = """WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT user_id, event_id, n, ts, ts AS anchor FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, o.n, o.ts, CASE WHEN epoch_us(o.ts) - epoch_us(s.anchor) >= 86400000000 THEN o.ts ELSE s.anchor END FROM s JOIN o ON o.user_id = s.user_id AND o.n = s.n + 1)"""
+
+
+def _anchored(t):
+    return R.anchored(t("events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", 86_400)
+
+
+@query("p13_snapshot_gap", f"{ANCHOR} SELECT user_id, event_id FROM s WHERE ts = anchor")
+def _(t):
+    # kept: the first, and each that lies a day or more after the last kept one
+    return _anchored(t).where("ts = anchor").select("user_id", "event_id")
+
+
+@query("w13_merged_events", f"{ANCHOR} SELECT user_id, anchor, count(*) AS n, max(ts) AS last_ts FROM s GROUP BY user_id, anchor")
+def _(t):
+    return _anchored(t).groupBy("user_id", "anchor").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
+
+
 @query("w19_nearest_lower_depth", "SELECT a.conv_id, a.turn, max(b.turn) AS parent FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn AND length(b.text) < length(a.text) GROUP BY 1, 2")
 def _(t):
     return R.nearest_lower(t("conversations").select("conv_id", "turn", F.length("text").alias("depth")), "conv_id", "turn", "depth")
@@ -156,20 +173,6 @@ def _(t):
     return t("documents").select("doc_id", "text").mapInPandas(run, "doc_id long, kind string, start long, end long")
 
 
-@query("n7_json_redaction")
-def _(t):
-    def walk(v):
-        if isinstance(v, dict):
-            return {k: "[REDACTED]" if k in ("k", "email") else walk(x) for k, x in v.items()}
-        return [walk(x) for x in v] if isinstance(v, list) else v
-
-    def run(frames):
-        for pdf in frames:
-            yield pd.DataFrame({"event_id": pdf["event_id"], "props": [json.dumps(walk(json.loads(p))) if p else p for p in pdf["props"]]})
-
-    return t("events").select("event_id", "props").mapInPandas(run, "event_id long, props string")
-
-
 @query("f25_entities_with_context")
 def _(t):
     def run(frames):

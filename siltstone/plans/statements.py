@@ -315,3 +315,29 @@ def _minhash() -> None:
 
 
 _minhash()
+
+# -- parsing, planning and selection ---------------------------------------------------------------------
+
+AGO = "CASE o_orderkey % 5 WHEN 0 THEN concat(o_orderkey % 29, ' days ago') WHEN 1 THEN concat(o_orderkey % 7, ' weeks ago') WHEN 2 THEN concat(o_orderkey % 11, ' months ago') WHEN 3 THEN concat(o_orderkey % 13, ' years ago') ELSE 'some time ago' END"
+statement(
+    "f12_relative_dates",
+    f"SELECT o_orderkey, try_cast(nullif(regexp_extract(s, '([0-9]+) [a-z]+ ago', 1), '') AS INT) * CASE regexp_extract(s, '[0-9]+ ([a-z]+)s ago', 1) WHEN 'day' THEN 1 WHEN 'week' THEN 7 WHEN 'month' THEN 30 WHEN 'year' THEN 365 END AS days FROM (SELECT o_orderkey, {AGO} AS s FROM {{orders}}) x",
+)
+_in = lambda words, w: " + ".join(f"CASE WHEN contains(lower(text), '{x}') THEN {w} ELSE 0.0 END" for x in words.split())
+statement("f15_temporal_intent", f"SELECT conv_id, turn, round(least(1.0, {_in('neu plus de', '0.3')} + {_in('on en', '0.2')} + CASE WHEN regexp_like(text, '202[0-4]') THEN 0.5 ELSE 0.0 END), 6) AS intent FROM {{conversations}}")
+statement("f18_search_parameters", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'que') THEN 128 WHEN contains(lower(text), 'und') THEN 96 ELSE 64 END * CASE WHEN turn > 2 THEN 2 ELSE 1 END AS limit_, round(greatest(0.3, 0.7 - 0.05 * turn), 6) AS threshold FROM {conversations}")
+statement("x5_adaptive_batch_size", "SELECT event_id, greatest(1, 8 + CASE WHEN value > 85 THEN -2 WHEN value < 50 AND event_type <> 'error' THEN 1 ELSE 0 END) AS batch FROM {events}")
+statement("r12_signature_near_duplicates", "SELECT k, min(doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, md5(concat_ws(' ', array_join(slice(w, 1, 5), ' '), size(w) % 10, source)) AS k FROM (SELECT doc_id, source, filter(split(lower(text), '[^a-zà-ÿ]+'), x -> x <> '') AS w FROM {documents}) y) x GROUP BY k")
+statement("r17_comparison_pairs", f"WITH {RANKS} SELECT x.q, x.d AS a, y.d AS b FROM r x JOIN r y ON x.q = y.q AND x.a < y.a WHERE y.a <= 10 OR (x.a <= 5 AND y.a BETWEEN 11 AND 20)")
+statement(
+    "j5_claim_contradictions",
+    """SELECT * FROM (SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b, round(greatest(CASE WHEN a.l_returnflag = 'R' AND b.l_returnflag <> 'R' THEN 0.8 ELSE 0.0 END, CASE WHEN a.l_linestatus <> b.l_linestatus THEN 0.4 ELSE 0.0 END,
+    abs(a.l_discount - b.l_discount) * 5, CASE WHEN a.l_suppkey = b.l_suppkey AND a.l_tax <> b.l_tax THEN 0.9 ELSE 0.0 END, abs(a.l_quantity - b.l_quantity) / greatest(a.l_quantity, b.l_quantity, 1.0) * 0.5), 6) AS confidence
+    FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber) x WHERE confidence > 0.3""",
+)
+statement("k16_cross_claim_consistency", "SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b, CASE WHEN abs(a.l_discount - b.l_discount) > 0.08 THEN 'high' ELSE 'medium' END AS severity FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.l_returnflag <> b.l_returnflag")
+statement("z3_importance_scorer", "SELECT conv_id, turn, round(CASE role WHEN 'system' THEN 0.5 WHEN 'user' THEN 0.3 ELSE 0.2 END + 0.3 * least(1.0, length(text) / 500.0) + 0.2 / (turn + 1), 6) AS importance FROM {conversations}")
+statement("z4_link_filter", """SELECT page_id, link, count(*) AS n FROM (SELECT page_id, explode(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM {pages}) x WHERE link LIKE '/%' AND length(link) > 3 GROUP BY page_id, link""")
+statement("n7_json_redaction", """SELECT event_id, regexp_replace(props, '("(k|email)" *: *)("[^"]*"|[0-9.]+)', '$1"[REDACTED]"'/*g*/) AS props FROM {events}""", """SELECT event_id, regexp_replace(props, '("(k|email)" *: *)("[^"]*"|[0-9.]+)', '\\1"[REDACTED]"', 'g') AS props FROM {events}""")
+statement("q12_risk_factors", f"SELECT doc_id, CASE WHEN n_chars < 300 THEN 1 ELSE 0 END + CASE WHEN {HITS('[*#%]')} > 3 THEN 1 ELSE 0 END + CASE WHEN lang IS NULL THEN 1 ELSE 0 END + CASE WHEN {HITS('!')} > 2 THEN 1 ELSE 0 END + CASE WHEN source >= 'src5' THEN 1 ELSE 0 END AS risks, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END + CASE WHEN {HITS('[.]')} > 10 THEN 1 ELSE 0 END AS positives FROM {{documents}}")
+statement("m13_identifier_dedup", "SELECT id, min(event_id) AS event_id, count(*) AS n FROM (SELECT event_id, coalesce(nullif(get_json_object(props, '$.id'), ''), nullif(get_json_object(props, '$.k'), ''), event_type) AS id FROM {events}) x GROUP BY id", "SELECT id, min(event_id) AS event_id, count(*) AS n FROM (SELECT event_id, coalesce(nullif(json_extract_string(props, '$.id'), ''), nullif(json_extract_string(props, '$.k'), ''), event_type) AS id FROM {events}) x GROUP BY id")
