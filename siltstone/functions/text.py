@@ -114,11 +114,22 @@ def mask_email(value: Column) -> Column:
     return F.concat(F.substring(value, 1, 1), F.lit("***@"), F.substring_index(value, "@", -1))
 
 
-def simhash(tokens: Column, bits: int = 32) -> Column:
-    """Sign of the summed token-hash bits, as a bit string; `tokens` should be a plain column."""
-    hashes = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long"))
-    signs = F.transform(
-        F.sequence(F.lit(0), F.lit(bits - 1)),
-        lambda b: F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.when(F.call_function("getbit", h, b) == 1, 1).otherwise(-1)),
-    )
-    return F.array_join(F.transform(signs, lambda s: F.when(s > 0, "1").otherwise("0")), "")
+def simhash(tokens: Column, bits: int = 64) -> Column:
+    """Sign of the summed token-hash bits, as a bit string, 32 bits of md5 at a time; `tokens` should be a plain column."""
+    parts = []
+    for at in range(0, bits, 32):
+        hashes = F.transform(tokens, _md5_word(1 + at // 4))
+        signs = F.transform(
+            F.sequence(F.lit(0), F.lit(min(31, bits - at - 1))),
+            _bit_sum(hashes),
+        )
+        parts.append(F.array_join(F.transform(signs, lambda s: F.when(s > 0, "1").otherwise("0")), ""))
+    return F.concat(*parts)
+
+
+def _md5_word(at: int):
+    return lambda t: F.conv(F.substring(F.md5(t.cast("binary")), at, 8), 16, 10).cast("long")
+
+
+def _bit_sum(hashes: Column):
+    return lambda b: F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.when(F.call_function("getbit", h, b) == 1, 1).otherwise(-1))

@@ -24,11 +24,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     Each task keeps k rows of a query before the shuffle (a ranked filter), so that pairs are not shuffled.
     """
     v = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).withColumn("vn", F.sqrt(dot(F.col("v"), F.col("v"))))
-    rows = queries.select("query_id", "q").orderBy("query_id").collect()
+    asked = queries.select("query_id", "q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("qn"))
+    blocks = max(-(-queries.count() // QUERY_BLOCK), 1)
     out = None
-    for i in range(0, max(len(rows), 1), QUERY_BLOCK):
-        block = v.sparkSession.createDataFrame(rows[i : i + QUERY_BLOCK], queries.select("query_id", "q").schema)
-        block = block.withColumn("qn", F.sqrt(dot(F.col("q"), F.col("q"))))
+    for i in range(blocks):
+        # about QUERY_BLOCK vectors
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
         scored = v.crossJoin(F.broadcast(block)).select("query_id", "key", F.round(dot(F.col("v"), F.col("q")) / F.nullif(F.col("vn") * F.col("qn"), F.lit(0.0)), 6).alias("score"))
         if threshold is not None:
             scored = scored.where(F.col("score") >= threshold)

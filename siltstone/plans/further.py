@@ -144,7 +144,12 @@ def _(t):
     return G.connected(e).groupBy("root").agg(F.count("*").alias("size"))
 
 
-@query("g9_label_propagation")
+PROPAGATION = f"WITH {N}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), l0 AS (SELECT DISTINCT a AS node, a AS c FROM u), " + ", ".join(
+    f"v{i} AS (SELECT u.a AS node, l.c AS c, count(*) AS n FROM u JOIN l{i - 1} l ON l.node = u.b GROUP BY 1, 2), l{i} AS (SELECT node, arg_min(c, (-n, c)) AS c FROM v{i} GROUP BY node)" for i in range(1, 6)
+) + " SELECT node, c AS community FROM l5"
+
+
+@query("g9_label_propagation", PROPAGATION)
 def _(t):
     return G.label_propagation(_chain(t), 5)
 

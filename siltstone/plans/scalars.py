@@ -105,6 +105,7 @@ def _(t):
     return t("part").select("p_partkey", X.deterministic_id(F.lower(F.trim("p_name")), F.col("p_brand")).alias("id"))
 
 
+#: Public patterns.
 PATTERNS = {"email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "ip": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "hash": r"\b[a-f0-9]{32,64}\b", "url": r"https?://[^\s<>]+"}
 
 
@@ -156,10 +157,15 @@ def _(t):
     return t("documents").select("doc_id", F.round(X.keyword_relevance(F.col("text"), ["the", "que"]), 6).alias("r"))
 
 
-@query("f21_simhash")
+@query(
+    "f21_simhash",
+    r"""WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''))) AS w FROM documents), b AS (SELECT unnest(range(0, 64)) AS b),
+    s AS (SELECT doc_id, b, sum(CASE WHEN (CAST('0x' || substr(md5(w), 1 + 8 * (b // 32), 8) AS BIGINT) >> (b % 32)) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM w, b GROUP BY 1, 2)
+    SELECT d.doc_id, string_agg(CASE WHEN coalesce(s, 0) > 0 THEN '1' ELSE '0' END, '' ORDER BY b.b) AS simhash FROM documents d CROSS JOIN b LEFT JOIN s ON s.doc_id = d.doc_id AND s.b = b.b GROUP BY d.doc_id""",
+)
 def _(t):
     d = t("documents").select("doc_id", X.word_set(F.col("text")).alias("w"))
-    return d.select("doc_id", X.simhash(F.col("w")).alias("simhash"))
+    return d.select("doc_id", X.simhash(F.col("w"), 64).alias("simhash"))
 
 
 @query("c7_sentence_split", r"SELECT doc_id, CAST(i - 1 AS BIGINT) AS idx, s FROM (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, trim(unnest(p), ' ') AS s FROM (SELECT doc_id, string_split_regex(text, '[.!?]+') AS p FROM documents)) WHERE length(s) >= 10")
@@ -177,7 +183,12 @@ def _(t):
     return chunking.word_windows(t("documents").select("doc_id", "text"), "doc_id", "text", 200, 50)
 
 
-@query("c4_chunk_tree")
+@query(
+    "c4_chunk_tree",
+    """WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0), l AS (SELECT * FROM (VALUES (0, 8000, 0), (1, 2000, 200), (2, 512, 76), (3, 128, 25)) AS x(level, most, shared)),
+    c AS (SELECT doc_id, n, level, most, most - shared AS step, unnest(range(0, CAST(greatest(ceil((n - shared) * 1.0 / (most - shared)) - 1, 0) AS BIGINT) + 1)) AS chunk_index FROM d, l)
+    SELECT doc_id, level, chunk_index, chunk_index * step AS start, CAST(least(most, n - chunk_index * step) AS BIGINT) AS size FROM c""",
+)
 def _(t):
     return chunking.chunk_tree(t("documents").select("doc_id", "text"), "doc_id", "text")
 
