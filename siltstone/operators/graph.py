@@ -70,20 +70,18 @@ def _labels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def connected(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """node, root: the smallest node reachable. Labels jump to their root's label in each round, so that rounds are few."""
-    both, nodes = _labels(edges)
-    labels = nodes.withColumn("root", F.col("node"))
+    both = _cut(_labels(edges)[0])
+    labels = both.select("node").distinct().withColumn("root", F.col("node"))
     total = None
-    for i in range(rounds):
+    for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("low"))
-        step = labels.join(near, "node").select("node", F.least("root", "low").alias("root"))
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        labels = step.join(jump, "root").select("node", F.col("top").alias("root"))
-        if i % 3 == 2:
-            labels = _cut(labels)
-            now = labels.agg(F.sum(F.xxhash64("node", "root").cast("decimal(20,0)"))).first()[0]
-            if now == total:
-                return labels
-            total = now
+        # each round is cut: the jump reads it twice, and plans would double
+        step = _cut(labels.join(near, "node").select("node", F.least("root", "low").alias("root")))
+        now = step.agg(F.sum(F.xxhash64("node", "root").cast("decimal(20,0)"))).first()[0]
+        if now == total:
+            return step
+        total = now
+        labels = step.join(step.select(F.col("node").alias("root"), F.col("root").alias("top")), "root").select("node", F.col("top").alias("root"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

@@ -35,23 +35,6 @@ def _(t):
     return _words(t).select("doc_id", F.size(shingles(F.col("w"))).cast("long").alias("n"))
 
 
-@query("d3_minhash_groups")
-def _(t):
-    """doc_id, leader: banded MinHash; each band bucket is checked against its smallest id alone, so that a bucket gives no pairs of pairs."""
-    rows, bands = 4, 16
-    s = _words(t).select("doc_id", F.transform(shingles(F.col("w")), lambda x: F.xxhash64(x)).alias("h"))
-    sig = s.select("doc_id", F.array(*[F.array_min(F.transform("h", _seeded(i))) for i in range(rows * bands)]).alias("sig"))
-    keyed = sig.select("doc_id", "sig", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(F.slice("sig", b * rows + 1, rows)).alias("k")) for b in range(bands)])).alias("x"))
-    lead = keyed.groupBy("x").agg(F.min(F.struct("doc_id", "sig")).alias("lead"))
-    met = keyed.join(lead, "x").where("doc_id > lead.doc_id")
-    same = F.size(F.filter(F.arrays_zip("sig", F.col("lead.sig").alias("o")), lambda z: z["sig"] == z["o"])) / (rows * bands)
-    return met.where(same >= 0.85).groupBy("doc_id").agg(F.min("lead.doc_id").alias("leader"))
-
-
-def _seeded(i: int):
-    return lambda h: F.xxhash64(h, F.lit(i))
-
-
 @query("d5_duplicate_merge", "SELECT md5(text) AS k, count(*) AS n, min(doc_id) AS first_id, max(n_chars) AS longest, count(DISTINCT source) AS sources FROM documents GROUP BY 1 HAVING count(*) > 1")
 def _(t):
     k = F.md5(F.col("text").cast("binary")).alias("k")

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from siltstone.registry import query
 
 #: Functions by the other engine's names.
@@ -25,15 +29,26 @@ def other_text(text: str) -> str:
     return re.sub(r"\b(\w) -> ", r"lambda \1: ", out).replace("/*g*/", ", 'g'")
 
 
+def places(text: str) -> list[str]:
+    return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}", text)))
+
+
+def other_sql(text: str) -> str:
+    """The text as the other engine reads it."""
+    return doubles(text).format(**{x: x for x in places(text)})
+
+
+def frame(t, text: str):
+    """The rows of SQL over {table} places."""
+    frames = {x: t(x) for x in places(text)}
+    return next(iter(frames.values())).sparkSession.sql(doubles(text), **frames)
+
+
 def statement(name: str, text: str, other: str | None = None) -> None:
     """Register SQL over {table} places; `other` where the other engine needs a text of its own."""
-    tables = sorted(set(re.findall(r"(?<!\{)\{(\w+)\}", text)))
-    sql = doubles(other or other_text(text)).format(**{x: x for x in tables})
-
-    @query(name, sql)
+    @query(name, other_sql(other or other_text(text)))
     def _(t):
-        frames = {x: t(x) for x in tables}
-        return frames[tables[0]].sparkSession.sql(doubles(text), **frames)
+        return frame(t, text)
 
 
 # -- predicates ---------------------------------------------------------------------------------
@@ -296,22 +311,46 @@ statement(
 )
 
 
+#: Signatures: 128 permutations (a * h + b) mod 2^31 - 1 of 128-bit md5 values; the limbs of h fold by 2^32 = 2 modulo that prime.
+PRIME = 2**31 - 1
+_rng = np.random.RandomState(42)
+PERM_A, PERM_B = _rng.randint(1, PRIME, 128).tolist(), _rng.randint(0, PRIME, 128).tolist()
+GRAM_WORDS = "filter(split(lower(trim(text)), '[ \n\t\r]+'), x -> x <> '')"
+GRAMS = "CASE WHEN size(w) >= 3 THEN array_distinct(transform(sequence(1, size(w) - 2), i -> concat_ws(' ', w[i - 1], w[i], w[i + 1]))) ELSE array(concat_ws(' ', w)) END"
+_limb = lambda f: " + ".join(f"{k} * {f(1 + 8 * i)}" for i, k in enumerate((8, 4, 2, 1)))
+GRAM_HASH = f"({_limb(lambda at: f'CAST(conv(substr(m, {at}, 8), 16, 10) AS BIGINT)')}) % {PRIME}"
+
+
 def _minhash() -> None:
-    """128 permutations (a * h + b) mod 2^31 - 1 of 128-bit md5 values; the limbs of h fold by 2^32 = 2 modulo that prime."""
-    import numpy as np
-
-    p = 2**31 - 1
-    rng = np.random.RandomState(42)
-    a, b = rng.randint(1, p, 128).tolist(), rng.randint(0, p, 128).tolist()
-    words = "filter(split(lower(trim(text)), '[ \n\t\r]+'), x -> x <> '')"
-    rows = "WITH w AS (SELECT doc_id, {words} AS w FROM {{documents}}), s AS (SELECT doc_id, explode({grams}) AS g FROM w), m AS (SELECT doc_id, md5(g) AS m FROM s), h AS (SELECT doc_id, ({limbs}) % 2147483647 AS h FROM m) SELECT doc_id, {mins} FROM h GROUP BY doc_id"
-    mins = ", ".join(f"min(({x} * h + {y}) % 2147483647) AS h{i}" for i, (x, y) in enumerate(zip(a, b)))
-    limb = lambda f: " + ".join(f"{k} * {f(1 + 8 * i)}" for i, k in enumerate((8, 4, 2, 1)))
-    statement(
-        "d2_minhash_signature",
-        rows.format(words=words, grams="CASE WHEN size(w) >= 3 THEN array_distinct(transform(sequence(1, size(w) - 2), i -> concat_ws(' ', w[i - 1], w[i], w[i + 1]))) ELSE array(concat_ws(' ', w)) END", limbs=limb(lambda at: f"CAST(conv(substr(m, {at}, 8), 16, 10) AS BIGINT)"), mins=mins),
-        rows.format(words=other_text(words), grams="CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) ELSE [array_to_string(w, ' ')] END", limbs=limb(lambda at: f"CAST('0x' || substr(m, {at}, 8) AS BIGINT)"), mins=mins).replace("explode(", "unnest("),
-    )
+    rows = "WITH w AS (SELECT doc_id, {words} AS w FROM {{documents}}), s AS (SELECT doc_id, explode({grams}) AS g FROM w), m AS (SELECT doc_id, md5(g) AS m FROM s), h AS (SELECT doc_id, {hash} AS h FROM m) SELECT doc_id, {mins} FROM h GROUP BY doc_id"
+    mins = ", ".join(f"min(({x} * h + {y}) % {PRIME}) AS h{i}" for i, (x, y) in enumerate(zip(PERM_A, PERM_B)))
+    hashed = f"({_limb(lambda at: f"CAST('0x' || substr(m, {at}, 8) AS BIGINT)")}) % {PRIME}"
+    other = rows.format(words=other_text(GRAM_WORDS), grams="CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) ELSE [array_to_string(w, ' ')] END", hash=hashed, mins=mins)
+
+    @query("d2_minhash_signature", other_sql(other.replace("explode(", "unnest(")))
+    def _(t):
+        sig = signatures(t("documents"))
+        return sig.select("doc_id", *[F.col("sig")[i].alias(f"h{i}") for i in range(128)])
+
+
+def signatures(docs):
+    """doc_id, sig of every document: hashes of its word triples in the JVM, their least permuted values by Arrow batches."""
+    hashed = docs.selectExpr("doc_id", f"{GRAM_WORDS} AS w").selectExpr("doc_id", f"transform(transform({GRAMS}, g -> md5(g)), m -> {GRAM_HASH}) AS h")
+    a, b = np.array(PERM_A, dtype=np.int64), np.array(PERM_B, dtype=np.int64)
+
+    def least(hashes):
+        out = np.full(128, PRIME, dtype=np.int64)
+        for i in range(0, len(hashes), 4096):
+            out = np.minimum(out, ((a[:, None] * hashes[None, i : i + 4096] + b[:, None]) % PRIME).min(axis=1))
+        return out
+
+    def run(batches):
+        for batch in batches:
+            sig = [least(np.asarray(h.values.to_numpy(zero_copy_only=False), dtype=np.int64)) for h in batch.column(1)]
+            flat = pa.array(np.concatenate(sig) if sig else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * 128), flat)], ["doc_id", "sig"])
+
+    return hashed.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, sig array<long>")
 
 
 _minhash()
