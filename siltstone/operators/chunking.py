@@ -86,3 +86,56 @@ def chunk_tree(df: DataFrame, key: str, text: str) -> DataFrame:
         out.append(F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), _chunk(depth, step, size)))
     rows = df.where(F.length(text) > 0).select(key, F.length(text).alias("__n"), F.explode(F.flatten(F.array(*out))).alias("c"))
     return rows.select(key, "c.level", "c.chunk_index", "c.start", F.least("c.most", F.col("__n") - F.col("c.start")).cast("long").alias("size"))
+
+
+def split_at(df: DataFrame, key: str, text: str, size: int, overlap: int, marks: list[str]) -> DataFrame:
+    """key, chunk_index, chunk: at most `size` characters, cut after the last mark past the half (the first mark of the list
+    that has one there), else at the size; a chunk begins `overlap` characters before the cut. Nothing follows the text's end."""
+
+    def cut(t: str):
+        start, n = 0, len(t)
+        while start < n:
+            end = min(start + size, n)
+            if end < n:
+                for m in marks:
+                    at = t.rfind(m, start, end)
+                    if at + len(m) - start > size // 2:
+                        end = at + len(m)
+                        break
+            yield t[start:end]
+            if end == n:
+                return
+            start = max(end - overlap, start + 1)
+
+    return _expand(df, key, text, cut)
+
+
+def merged_paragraphs(df: DataFrame, key: str, text: str, most: int = 200) -> DataFrame:
+    """key, chunk_index, chunk: lines with a word, joined while their words together stay within `most`; a longer line is its own chunk."""
+
+    def cut(t: str):
+        held: list[str] = []
+        words = 0
+        for line in t.split("\n"):
+            n = len([w for w in line.split(" ") if w])
+            if n and held and words + n > most:
+                yield "\n".join(held)
+                held, words = [], 0
+            if n:
+                held.append(line)
+                words += n
+        if held:
+            yield "\n".join(held)
+
+    return _expand(df, key, text, cut)
+
+
+def matches(df: DataFrame, key: str, text: str, pattern: str, around: int) -> DataFrame:
+    """key, entity, start, end, context: every match with `around` characters on either side, in the JVM: what lies between the matches gives their places."""
+    found = df.select(key, F.col(text).alias("__t"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("__e"), F.split(text, pattern, -1).alias("__g"))
+    # running lengths of gaps and matches before each match
+    start = lambda i: F.aggregate(F.slice("__g", 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice("__e", 1, i), F.lit(0), lambda a, e: a + F.length(e))
+    rows = found.where(F.size("__e") > 0).select(key, "__t", F.explode(F.transform("__e", lambda e, i: F.struct(e.alias("e"), start(i).alias("at")))).alias("m"))
+    at, end = F.col("m.at"), F.col("m.at") + F.length("m.e")
+    first = F.greatest(at - around, F.lit(0))
+    return rows.select(key, F.col("m.e").alias("entity"), at.cast("long").alias("start"), end.cast("long").alias("end"), F.substring(F.col("__t"), first + 1, end + around - first).alias("context"))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from siltstone.functions import text as X
+from siltstone.operators import chunking as C
 from siltstone.operators import graph as G
 from siltstone.operators import relational as R
 from siltstone.plans.graphs import N, _chain
@@ -178,19 +179,53 @@ def _(t):
     return t("documents").select("doc_id", "text").mapInPandas(run, "doc_id long, kind string, start long, end long")
 
 
-@query("f25_entities_with_context")
+EMAIL = r"[\w.+-]+@[\w.-]+\.\w+"
+# places by the gaps before each match
+ENTITIES = rf"""WITH f AS (SELECT doc_id, text, regexp_extract_all(text, '{EMAIL}') AS e, string_split_regex(text, '{EMAIL}') AS g FROM documents), r AS (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM f),
+s AS (SELECT doc_id, text, e[i] AS entity, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(e[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM r)
+SELECT doc_id, entity, start, start + length(entity) AS "end", substr(text, greatest(start - 50, 0) + 1, start + length(entity) + 50 - greatest(start - 50, 0)) AS context FROM s"""
+
+
+@query("f25_entities_with_context", ENTITIES)
 def _(t):
-    def run(frames):
-        import re
+    return C.matches(t("documents"), "doc_id", "text", EMAIL, 50)
 
-        for pdf in frames:
-            out = []
-            for d, text in zip(pdf["doc_id"], pdf["text"]):
-                for m in re.finditer(r"[\w.+-]+@[\w.-]+\.\w+", text or ""):
-                    out.append((d, m.group(0), m.start(), m.end(), text[max(0, m.start() - 50) : m.end() + 50]))
-            yield pd.DataFrame(out, columns=["doc_id", "entity", "start", "end", "context"])
 
-    return t("documents").select("doc_id", "text").mapInPandas(run, "doc_id long, entity string, start long, end long, context string")
+def _split_sql(size: int, overlap: int, marks: list[str]) -> str:
+    """The same cuts, chunk after chunk, by recursion over (start, end)."""
+    window = f"substr(text, a + 1, {size})"
+    past = lambda m: f"({size} - strpos(reverse({window}), reverse({m})) + 1)"
+    rules = " ".join(f"WHEN contains({window}, {m}) AND {past(m)} > {size // 2} THEN a + {past(m)}" for m in marks)
+    end = f"CASE WHEN a + {size} >= length(text) THEN length(text) {rules} ELSE a + {size} END"
+    return f"""WITH RECURSIVE s AS (SELECT doc_id, text, 0 AS i, CAST(0 AS BIGINT) AS a, CAST({end.replace('a + 1', '0 + 1').replace('a + ', '0 + ')} AS BIGINT) AS b FROM documents WHERE length(text) > 0
+    UNION ALL SELECT doc_id, text, i + 1, a, CAST({end} AS BIGINT) FROM (SELECT doc_id, text, i, greatest(b - {overlap}, a + 1) AS a FROM s WHERE b < length(text)) x)"""
+
+
+#: Level, characters, characters shared, marks in order of preference (and as SQL).
+SPLITS = [("c5_section_split", 2000, 200, ["\n"], ["chr(10)"]), ("c6_passage_split", 512, 76, [". "], ["'. '"]), ("c8_recursive_splitter", 400, 40, ["\n", ". ", " "], ["chr(10)", "'. '", "' '"])]
+
+
+def _register(name, size, overlap, marks, sql):
+    @query(name, _split_sql(size, overlap, sql) + " SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, b - a AS chunk_size, length(text) AS original_length, md5(substr(text, a + 1, b - a)) AS h FROM s")
+    def _(t):
+        d = t("documents")
+        chunks = C.split_at(d, "doc_id", "text", size, overlap, marks).withColumn("total_chunks", F.count("*").over(Window.partitionBy("doc_id")))
+        return chunks.join(d.select("doc_id", F.length("text").cast("long").alias("original_length")), "doc_id").select("doc_id", "chunk_index", "total_chunks", F.length("chunk").cast("long").alias("chunk_size"), "original_length", F.md5(F.col("chunk").cast("binary")).alias("h"))
+
+
+for _split in SPLITS:
+    _register(*_split)
+
+
+@query(
+    "c13_merged_paragraphs",
+    """WITH RECURSIVE l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, n, c FROM (SELECT doc_id, i, len(list_filter(string_split(s, ' '), lambda x: x <> '')) AS n, length(s) AS c FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS s FROM documents)) WHERE n > 0),
+    r AS (SELECT doc_id, i, c, n AS held, 0 AS k FROM l WHERE i = 1 UNION ALL SELECT l.doc_id, l.i, l.c, CASE WHEN held + l.n > 200 THEN l.n ELSE held + l.n END, CASE WHEN held + l.n > 200 THEN k + 1 ELSE k END FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1)
+    SELECT doc_id, CAST(k AS BIGINT) AS chunk_index, CAST(sum(c) + count(*) - 1 AS BIGINT) AS chars, CAST(max(held) AS BIGINT) AS words FROM r GROUP BY doc_id, k""",
+)
+def _(t):
+    c = C.merged_paragraphs(t("documents"), "doc_id", "text")
+    return c.select("doc_id", "chunk_index", F.length("chunk").cast("long").alias("chars"), F.size(F.filter(F.split("chunk", "[ \n]"), lambda x: x != "")).cast("long").alias("words"))
 
 
 @query("c2_section_chunks", r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS BIGINT) AS sections FROM documents")
