@@ -72,3 +72,60 @@ def test_greedy_budget_and_stack(spark):
     parents = {(r.k, r.i): r.parent for r in R.nearest_lower(df, "k", "i", "cost").collect()}
     costs = {(k, i): c for k, i, c, _ in rows}
     assert parents == {(k, i): max((j for j in range(i) if costs[k, j] < costs[k, i]), default=None) for k, i in costs}
+
+
+def test_signature_groups_against_all_pairs(spark):
+    """Chains, a crowd around one signature and equal signatures: no link between two classes is lost."""
+    import numpy as np
+
+    from siltstone.operators import duplicates as D
+
+    rng = np.random.RandomState(3)
+    base = rng.randint(0, 1 << 30, (12, 16))
+    rows = []
+    for b in base:
+        cur = b.copy()
+        for _ in range(rng.randint(1, 9)):  # each differs from the one before in up to three places
+            cur = cur.copy()
+            cur[rng.choice(16, rng.randint(0, 4), replace=False)] = rng.randint(0, 1 << 30)
+            rows.append(cur)
+    order = rng.permutation(len(rows))
+    sig = [rows[i].tolist() for i in order]
+    parent = list(range(len(sig)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sig)):
+        for j in range(i):
+            if sum(x == y for x, y in zip(sig[i], sig[j])) >= 13:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sig)], "k long, sig array<long>")
+    got = {r["k"]: r["leader"] for r in D.signature_groups(df, "k", "sig", 16, 13).collect()}
+    assert got == {i: root(i) for i in range(len(sig))}
+    assert D.signature_groups(df.limit(0), "k", "sig", 16, 13).count() == 0
+
+
+def test_chunks_and_matches_on_odd_texts(spark):
+    from siltstone.operators import chunking as C
+
+    texts = [(1, None), (2, ""), (3, "a"), (4, "word " * 500), (5, "x" * 1000), (6, "a@b.cc tail\nc.d@e.org")]
+    df = spark.createDataFrame(texts, "k long, text string")
+    for size, overlap in ((10, 3), (100, 20)):
+        parts = {}
+        for r in C.split_at(df, "k", "text", size, overlap, ["\n", " "]).orderBy("k", "chunk_index").collect():
+            parts.setdefault(r["k"], []).append(r["chunk"])
+        assert set(parts) == {3, 4, 5, 6}
+        for k, text in texts[2:]:
+            assert all(0 < len(c) <= size for c in parts[k])
+            # each chunk begins with the end of the one before
+            whole = parts[k][0]
+            for c in parts[k][1:]:
+                whole += c[overlap:]
+            assert whole == text
+    found = C.matches(df, "k", "text", r"[\w.]+@[\w.]+", 3).orderBy("start").collect()
+    assert [(r["entity"], r["start"], r["end"], r["context"]) for r in found] == [("a@b.cc", 0, 6, "a@b.cc ta"), ("c.d@e.org", 12, 21, "il\nc.d@e.org")]
+    assert {r["k"] for r in C.merged_paragraphs(df, "k", "text").collect()} == {3, 4, 5, 6}
