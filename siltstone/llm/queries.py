@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, langid, licenses, merkle, ngram_join, packing, rules, sharding, token_files, tokens, toxicity
+from siltstone.llm import decontaminate, langid, licenses, merkle, ngram_join, packing, rules, sharding, token_files, tokens, toxicity, vector_codes, whitening
 from siltstone.llm.common import scratch_path, table
 
 
@@ -60,9 +60,17 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), 4096, 1)
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.digests(*vector_codes.encode(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_merkle_audit, op2_lpt_shards, op3_decontaminate, op4_token_files, op5_license_scan, op6_quality_rules, op7_ngram_jaccard, op8_language_id, op9_toxicity, op10_best_fit_packing)
+    for f in (op1_merkle_audit, op2_lpt_shards, op3_decontaminate, op4_token_files, op5_license_scan, op6_quality_rules, op7_ngram_jaccard, op8_language_id, op9_toxicity, op10_best_fit_packing, op11_embedding_whitening, op12_vector_codes)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_merkle_audit": """
