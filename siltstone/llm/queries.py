@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, langid, licenses, merkle, ngram_join, packing, rules, sharding, token_files, tokens, toxicity, vector_codes, whitening
-from siltstone.llm.common import scratch_path, table
+from siltstone.llm import decontaminate, langid, licenses, media, merkle, ngram_join, packing, rules, sharding, token_files, tokens, toxicity, vector_codes, whitening
+from siltstone.llm.common import materialize, scratch_path, table
 
 
 def replica_of(pages):
@@ -68,9 +68,13 @@ def op12_vector_codes(spark, sf_dir):
     return vector_codes.digests(*vector_codes.encode(table(spark, sf_dir, "embeddings")))
 
 
+def op13_media_columns(spark, sf_dir):
+    return media.digests(materialize(media.with_media(table(spark, sf_dir, "documents")), "media"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_merkle_audit, op2_lpt_shards, op3_decontaminate, op4_token_files, op5_license_scan, op6_quality_rules, op7_ngram_jaccard, op8_language_id, op9_toxicity, op10_best_fit_packing, op11_embedding_whitening, op12_vector_codes)
+    for f in (op1_merkle_audit, op2_lpt_shards, op3_decontaminate, op4_token_files, op5_license_scan, op6_quality_rules, op7_ngram_jaccard, op8_language_id, op9_toxicity, op10_best_fit_packing, op11_embedding_whitening, op12_vector_codes, op13_media_columns)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_merkle_audit": """
