@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from siltstone.plans import aggregates, duplicates, evaluation, exchange, further, graphs, more, quality, relational, retrieval, scalars, selection, statements, storage, streams  # noqa: F401
+from siltstone.plans import aggregates, duplicates, evaluation, exchange, further, graphs, indexes, more, networks, quality, relational, retrieval, scalars, selection, statements, storage, streams, versions  # noqa: F401
 from siltstone.registry import ORACLE_SQL, QUERIES  # noqa: F401
