@@ -143,6 +143,60 @@ def test_licenses_base(spark):
     assert "apache-2.0" in got[8].labels and "mit" in got[9].labels and got[11].labels == ""
 
 
+def brute_licences(texts):
+    """Labels and score of each text: all places of all templates' rare words, cell by cell."""
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW)) for t in texts]
+    df = Counter(w for ws in split for w in set(ws))
+    out = []
+    for ws in split:
+        base, spans = {lab for p, lab in PHRASES.items() if f" {p} " in f" {' '.join(ws)} "}, set()
+        for t, (label, words, must) in enumerate(licenses.TEMPLATES):
+            if f" {must} " not in f" {' '.join(ws)} ":
+                continue
+            tw = words.split()
+            others = sorted(set(tw) - set(must.split()), key=lambda w: (df[w], w))
+            asked = [w for w in others if w in ws][: licenses.LOOKED_UP]
+            need = max(min(4, len(others)), -(-len(asked) // 2))
+            for grid in (0, licenses.DRIFT // 2):
+                cells = defaultdict(list)
+                for at, w in enumerate(ws):
+                    if w in asked:
+                        for i, x in enumerate(tw):
+                            if x == w:
+                                cells[(at - i + grid) // licenses.DRIFT].append((w, at - i))
+                for met in cells.values():
+                    agree = len({w for w, _ in met})
+                    low, high = max(min(s for _, s in met), 0), max(s for _, s in met) + len(tw)
+                    if agree >= need and f" {must} " in f" {' '.join(ws[low:high])} ":
+                        spans.add((t, label, len(tw), low, high, agree / len(asked)))
+        kept = [s for s in spans if not any(o[2] > s[2] and o[3] <= s[3] and o[4] >= s[4] for o in spans)]
+        out.append((",".join(sorted(base | {s[1] for s in kept})), 1.0 if base else max((s[5] for s in kept), default=0.0)))
+    return out
+
+
+def test_licences_against_all_places(spark):
+    rng = random.Random(11)
+    fill = ["alpha", "beta", "the", "of", "license", "software", "and", "is", "hereby", "source", "version", "2", "0", "public", "under"]
+    texts = ["The prize is hereby granted to Anna.", "We do not use the Apache License here, nor source and binary forms.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "mit license", None, "",
+             "\u212aernel licensed under the MIT LICENSE\u0130", "licensed under\n\n * the Apache\n * License, Version 2.0 and released under the MIT license"]
+    for _, words, _ in licenses.TEMPLATES:
+        for edits in (0, 1, 2, 5):
+            w = words.split()
+            for _ in range(edits):
+                i = rng.randrange(len(w))
+                w[i : i + rng.randrange(2)] = [rng.choice(fill)] * rng.randrange(3)
+            around = [[rng.choice(fill) for _ in range(rng.randrange(60))] for _ in range(2)]
+            texts.append("\n".join(" ".join(part) for part in (around[0], w, around[1])))
+        texts.append(f"{words}. {rng.choice(licenses.TEMPLATES)[1]}")
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan(frame(spark, texts)).collect()}
+    want = brute_licences(texts)
+    assert {i: g for i, g in got.items() if g != (want[i][0], round(want[i][1], 9))} == {}
+    assert [got[i][0] for i in range(4)] == ["", "", "apache-2.0", "mit"] and got[8][0] == "apache-2.0,mit"
+    full = {label: i for i, (label, _, _) in enumerate(licenses.TEMPLATES)}
+    for label in ("mit", "isc", "0bsd", "zlib", "bsd"):
+        assert got[9 + 5 * full[label]][0] == label  # the whole template is itself and none of its parts
+
+
 def test_licence_words_in_many_files(spark):
     texts = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License"] * 60 + ["plain words"] * 120
     # more licence words than are looked up for one template, and rarer ones
