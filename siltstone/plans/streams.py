@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from siltstone.registry import query
+from siltstone.sources.writers import shared_path
+from siltstone.streaming import counters as C
 
 
 @query("x6_low_novelty_exit", "SELECT user_id, event_id, round(m, 6) AS trailing FROM (SELECT user_id, event_id, avg(value) OVER w AS m, row_number() OVER w2 AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), w2 AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n >= 5 AND m < 20")
@@ -45,3 +47,54 @@ def _(t):
 @query("x18_session_window", "WITH s AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 1800000000 THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM s) SELECT user_id, min(ts) AS first_ts, count(*) AS n FROM g GROUP BY user_id, sid")
 def _(t):
     return t("events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n")).drop("session_window")
+
+
+def _arriving(t):
+    """(folder, writers of four slices of events in order of time): files that a stream finds one after another."""
+    e = t("events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    spark = e.sparkSession
+    folder = shared_path(spark, "arriving")
+    cuts = [None, *e.select(F.unix_timestamp("ts").alias("s")).approxQuantile("s", [0.25, 0.5, 0.75], 0.01), None]
+
+    def slice_(low, high):
+        at = F.unix_timestamp("ts")
+        part = e.where((F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high))
+        part.write.mode("append").parquet(folder)
+
+    return folder, [lambda low=a, high=b: slice_(low, high) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _streamed(t, build, schema: str):
+    """The rows of build(stream) over the arriving slices; the stream is stopped after two and goes on from its checkpoint."""
+    folder, slices = _arriving(t)
+    spark = t("events").sparkSession
+    out, state = shared_path(spark, "streamed"), shared_path(spark, "stream-state")
+    before = {k: spark.conf.get(k, None) for k in C.STATE_STORE}
+    for k, v in C.STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        for i, write in enumerate(slices):
+            write()
+            if i % 2:
+                read = spark.readStream.schema("event_id long, user_id long, event_type string, ts timestamp").option("maxFilesPerTrigger", 10_000).parquet(folder)
+                stream = build(read).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+                stream.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(schema).parquet(out)
+
+
+SLIDING = "count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN {} PRECEDING AND CURRENT ROW)"
+
+
+@query("x10_stream_counters", f"SELECT event_id, {SLIDING.format(60)} AS n_60, {SLIDING.format(3600)} AS n_3600 FROM events")
+def _(t):
+    """The counters as a stream with a restart between the slices."""
+    return _streamed(t, lambda e: C.sliding_counts(e, "user_id", "event_id", "ts"), "event_id long, n_60 long, n_3600 long")
+
+
+@query("x9_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+def _(t):
+    """Each user's kinds of event once, as a stream that remembers a key for ten years of event time."""
+    return _streamed(t, lambda e: C.first_seen(e, ["user_id", "event_type"], "ts", "3650 days"), "user_id long, event_type string")
