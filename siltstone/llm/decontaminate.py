@@ -117,7 +117,11 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark item."""
+    """The rows of docs, with all their columns, that hold no benchmark item.
+
+    Null and empty texts hold none and stay; equal rows stay or go together; without items all rows stay; an empty table gives
+    no rows.
+    """
     i, h = fresh(docs, "i"), fresh(docs, "h")
     bad = find(docs, items).select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(bad[i]) & (F.xxhash64(docs["text"]) == bad[h])

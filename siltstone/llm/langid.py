@@ -18,7 +18,7 @@ from siltstone.llm.common import slices, text_bytes
 
 #: Bytes of text to an automaton, most bytes from one text, and labelled rows of a language considered: the bounded sample.
 TRAIN_BYTES, TRAIN_CUT, TRAIN_ROWS = 40_000, 10_000, 500
-#: Languages beyond which each gets fewer bytes, down to LEAST_BYTES, so that what is broadcast (about 100 bytes a byte of text) is bounded.
+#: Languages beyond which each gets fewer bytes, down to LEAST_BYTES, so that what is broadcast (about 170 bytes a byte of text: 27 MB for four languages) is bounded.
 LANGUAGES, LEAST_BYTES = 64, 500
 BLOCK = 256
 #: Bytes a phrase below which a text is in none of the languages.
@@ -227,7 +227,9 @@ def identify(docs: DataFrame, models: dict | None = None, modulo: int = 3, out:
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose text is in a learned language.
 
-    Rejected: texts without letters (und) and texts that no automaton parses in phrases of LEAST_PHRASE bytes on average.
+    Rejected: texts without letters (und; null and empty ones among them) and texts that no automaton parses in phrases of
+    LEAST_PHRASE bytes on average. Repeated rows stay or go together; where no row has a language nothing is learned and no row
+    stays; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs))
 

@@ -295,6 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulo: int = 5, out: int = 0) -> Mo
     least = np.log(max(terms.count(), 1))
     rows = [r for r in rows if evidence(r.toxic, r.clean, n_toxic / (n_toxic + n_clean)) > least]
     lexicon = calibrated(choose_terms([(r.term, r.clean, r.toxic) for r in rows], n_clean, n_toxic), frame, n_clean)
+    if not lexicon.terms:
+        return Model(lexicon, np.array([-3.0, 0.0, 0.0]))
     x = frame.mapInArrow(_hit_rows(lexicon), "exact double, near double, toxic int").groupBy("exact", "near", "toxic").count().toPandas().sort_values(["toxic", "exact", "near"])  # a row for each kind of sample row
     x = x.loc[x.index.repeat(x["count"])]
     weights = _logistic(_strength(x[["exact", "near"]].to_numpy()), x["toxic"].to_numpy(float))
@@ -306,7 +308,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulo: int = 5, out: int = 0) -> Mo
 def score(docs: DataFrame, labels: DataFrame, modulo: int = 5, out: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs.
 
-    Null and empty texts get the score of a text without hits. Without labels of both kinds every score is below 0.5. A
+    Null and empty texts get the score of a text without hits. Without labels of both kinds, or where they are too few to
+    learn a term from, every score is below 0.5. A
     null id is not held out and not learned from; repeated rows get equal scores; of several labels of one id the
     highest counts; long texts are read whole; an empty table gives no rows; other columns are not read.
     """
@@ -323,7 +326,11 @@ def score(docs: DataFrame, labels: DataFrame, modulo: int = 5, out: int = 0) ->
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below 0.5."""
+    """The rows of docs, with all their columns, whose score is below 0.5.
+
+    Null and empty texts have no hits and stay; repeated rows stay or go together; without labels that a term can be learned
+    from all rows stay; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches):

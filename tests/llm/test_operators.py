@@ -472,17 +472,54 @@ def test_pipeline_near_copies(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots))
 
 
-def test_pipeline_against_its_stages(spark):
+def pipeline_tables(spark, folder, documents):
+    documents.write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, SF, name).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_pipeline_against_its_stages(spark, tmp_path):
+    """Each stage's decision by brute force, over documents that tell 5 words and 80 % from 4 words and 85 %."""
+    import corpus_pipeline as P
+
+    docs = table(spark, SF, "documents")
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    copies = [" ".join(words), " ".join([*words[:25], "other", *words[26:]]), " ".join([*words[:20], "more", *words[21:40], "kinds", *words[41:]])]
+    extra = [(10_000 + i, t, "en", "s", len(t or "")) for i, t in enumerate([*copies, "12 34 !!", "", None, *near_copies(9, groups=4)])]
+    whole = docs.union(spark.createDataFrame(extra, docs.schema))
+    folder = pipeline_tables(spark, tmp_path / "t", whole)
+    texts = {r.doc_id: r.text for r in whole.collect()}
+    toxic = {r.doc_id for r in queries.op9_toxicity(spark, folder).collect() if r.predicted}
+    assert not toxic  # too few labels here to learn a term from: nothing may go
+    known = sorted(i for i, t in texts.items() if i not in toxic and re.search(r"[^\W\d_]", t or ""))
+    assert not {10_003, 10_004, 10_005} & set(known) and {10_000, 10_001} <= set(known)
+    _, roots = brute_components([texts[i] for i in known], 5, 80)
+    _, other = brute_components([texts[i] for i in known])
+    assert roots != other
+    firsts = {known[r] for r in roots}
+    leaks = {r.doc_id for r in queries.op3_decontaminate(spark, folder).collect()}
+    out = P.run(spark, folder).collect()
+    assert {r.doc_id for r in out} == firsts - leaks
+    # the packed pieces are the documents' ids whole, in sequences of 4,096 at most, as few as their sum allows but for a few
+    lengths, filled = defaultdict(int), defaultdict(list)
+    for r in out:
+        lengths[r.doc_id] += r.length
+        filled[r.sequence_id].append((r.offset, r.length))
+    alone = {r.doc_id: r.n_tokens for r in queries.op4_token_files(spark, folder).collect()}
+    assert dict(lengths) == {i: alone[i] for i in firsts - leaks}
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(filled) <= -(-sum(lengths.values()) // 4096) + 3
+
+
+def test_pipeline_over_nothing(spark, tmp_path):
     import corpus_pipeline as P
 
-    out = P.run(spark, SF).collect()
-    docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
-    kept = {r.doc_id for r in out}
-    assert kept <= set(docs)
-    toxic = {r.doc_id for r in queries.op9_toxicity(spark, SF).collect() if r.predicted}
-    assert not kept & toxic
-    order = sorted(set(docs) - toxic)
-    _, roots = brute_components([docs[i] for i in order])
-    firsts = {order[r] for r in roots}
-    leaks = {r.doc_id for r in queries.op3_decontaminate(spark, SF).collect()}
-    assert kept == firsts - leaks
+    docs = table(spark, SF, "documents")
+    assert P.run(spark, pipeline_tables(spark, tmp_path / "t", docs.limit(0))).count() == 0
+    assert decontaminate.keep_clean(docs, table(spark, SF, "benchmark").limit(0)).count() == docs.count()
