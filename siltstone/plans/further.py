@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from siltstone.functions import text as X
@@ -155,30 +154,6 @@ def _(t):
     return G.label_propagation(_chain(t), 5)
 
 
-@query("n2_overlap_resolution")
-def _(t):
-    """Per document the longest non-overlapping matches in order of start: overlapping later ones go unless longer."""
-    patterns = [("email", r"[\w.+-]+@[\w.-]+\.\w+"), ("number", r"\d[\d ()-]{5,}\d"), ("url", r"https?://\S+")]
-
-    def run(frames):
-        import re
-
-        for pdf in frames:
-            out = []
-            for d, text in zip(pdf["doc_id"], pdf["text"]):
-                found = sorted((m.start(), m.end(), k) for k, p in patterns for m in re.finditer(p, text or ""))
-                kept: list[tuple] = []
-                for m in found:
-                    if not kept or m[0] >= kept[-1][1]:
-                        kept.append(m)
-                    elif m[1] - m[0] > kept[-1][1] - kept[-1][0]:
-                        kept[-1] = m
-                out += [(d, k, a, b) for a, b, k in kept]
-            yield pd.DataFrame(out, columns=["doc_id", "kind", "start", "end"])
-
-    return t("documents").select("doc_id", "text").mapInPandas(run, "doc_id long, kind string, start long, end long")
-
-
 EMAIL = r"[\w.+-]+@[\w.-]+\.\w+"
 # places by the gaps before each match
 ENTITIES = rf"""WITH f AS (SELECT doc_id, text, regexp_extract_all(text, '{EMAIL}') AS e, string_split_regex(text, '{EMAIL}') AS g FROM documents), r AS (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM f),

@@ -367,7 +367,7 @@ statement("f15_temporal_intent", f"SELECT conv_id, turn, round(least(1.0, {_in('
 statement("f18_search_parameters", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'que') THEN 128 WHEN contains(lower(text), 'und') THEN 96 ELSE 64 END * CASE WHEN turn > 2 THEN 2 ELSE 1 END AS limit_, round(greatest(0.3, 0.7 - 0.05 * turn), 6) AS threshold FROM {conversations}")
 statement("x5_adaptive_batch_size", "SELECT event_id, greatest(1, 8 + CASE WHEN value > 85 THEN -2 WHEN value < 50 AND event_type <> 'error' THEN 1 ELSE 0 END) AS batch FROM {events}")
 statement("r12_signature_near_duplicates", "SELECT k, min(doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, md5(concat_ws(' ', array_join(slice(w, 1, 5), ' '), size(w) % 10, source)) AS k FROM (SELECT doc_id, source, filter(split(lower(text), '[^a-zà-ÿ]+'), x -> x <> '') AS w FROM {documents}) y) x GROUP BY k")
-statement("r17_comparison_pairs", f"WITH {RANKS} SELECT x.q, x.d AS a, y.d AS b FROM r x JOIN r y ON x.q = y.q AND x.a < y.a WHERE y.a <= 10 OR (x.a <= 5 AND y.a BETWEEN 11 AND 20)")
+statement("r17_comparison_pairs", f"WITH {RANKS}, u AS (SELECT * FROM r WHERE a <= 10), v AS (SELECT * FROM r WHERE a <= 20) SELECT x.q, x.d AS a, y.d AS b FROM u x JOIN v y ON x.q = y.q AND x.a < y.a WHERE y.a <= 10 OR (x.a <= 5 AND y.a > 10)")
 statement(
     "j5_claim_contradictions",
     """SELECT * FROM (SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b, round(greatest(CASE WHEN a.l_returnflag = 'R' AND b.l_returnflag <> 'R' THEN 0.8 ELSE 0.0 END, CASE WHEN a.l_linestatus <> b.l_linestatus THEN 0.4 ELSE 0.0 END,
