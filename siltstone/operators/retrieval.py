@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: Query vectors sent to all executors in one block; more are searched block by block.
-QUERY_BLOCK = 1_000
+from siltstone.operators.vector_index import exact
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,21 +20,10 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, threshold: float | None = None) -> DataFrame:
     """query_id, key, score, rank: the exact k nearest by cosine of each query, a stated set sent in blocks to all vectors.
 
-    Each task keeps k rows of a query before the shuffle (a ranked filter), so that pairs are not shuffled.
+    Each batch of vectors meets a block of queries in one matrix product and keeps k rows of a query, so that pairs are not shuffled.
+    Vectors without a cosine (null, of zeros, of another width) are not found.
     """
-    v = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).withColumn("vn", F.sqrt(dot(F.col("v"), F.col("v"))))
-    asked = queries.select("query_id", "q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("qn"))
-    blocks = max(-(-queries.count() // QUERY_BLOCK), 1)
-    out = None
-    for i in range(blocks):
-        # about QUERY_BLOCK vectors
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scored = v.crossJoin(F.broadcast(block)).select("query_id", "key", F.round(dot(F.col("v"), F.col("q")) / F.nullif(F.col("vn") * F.col("qn"), F.lit(0.0)), 6).alias("score"))
-        if threshold is not None:
-            scored = scored.where(F.col("score") >= threshold)
-        best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= k)
-        out = best if out is None else out.union(best)
-    return out
+    return exact(vectors, queries, key, vector, k, threshold)
 
 
 def _equals(term: str):

@@ -75,17 +75,26 @@ def timemap_rows(lines: DataFrame) -> DataFrame:
 WARC_SCHEMA = "path string, offset long, kind string, record_id string, url string, date string, status int, headers string, body binary"
 
 
-def _warc(data: bytes):
+def _warc(stream):
+    """(offset, header fields, content) of each record, one at a time; ends at the first that is cut off."""
     at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data[at:].startswith(b"WARC/"):
+    while (line := stream.readline()).startswith(b"WARC/"):
+        lines = [line]
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            lines.append(line)
+        if not line:
             return
-        head = dict(re.findall(r"(?m)^([A-Za-z-]+):[ \t]*(.*?)\r?$", data[at:end].decode("utf-8", "replace")))
+        raw = b"".join(lines)
+        head = dict(re.findall(r"(?m)^([A-Za-z-]+):[ \t]*(.*?)\r?$", raw.decode("utf-8", "replace")))
         head = {k.lower(): v for k, v in head.items()}
         size = int(head.get("content-length", 0))
-        yield at, head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        yield at, head, stream.read(size)
+        stream.read(4)
+        at += len(raw) + 2 + size + 4
+
+
+#: Content bytes of one frame of records.
+WARC_FRAME = 16 << 20
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -96,12 +105,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def warc_records(files: DataFrame) -> DataFrame:
     """One row for each record of (path, content): whole files, or their members."""
 
+    names = [c.split()[0] for c in WARC_SCHEMA.split(", ")]
+
     def run(frames):
         for pdf in frames:
-            rows = []
+            rows, held = [], 0
             for name, content in zip(pdf["path"], pdf["content"]):
-                raw = gzip.GzipFile(fileobj=io.BytesIO(content)).read() if bytes(content[:2]) == b"\x1f\x8b" else bytes(content)
-                for at, head, body in _warc(raw):
+                stream = io.BytesIO(content)
+                for at, head, body in _warc(gzip.GzipFile(fileobj=stream) if bytes(content[:2]) == b"\x1f\x8b" else stream):
                     status, headers = None, ""
                     if head.get("warc-type") == "response" and b"\r\n\r\n" in body:
                         top, body = body.split(b"\r\n\r\n", 1)
@@ -109,6 +120,10 @@ def warc_records(files: DataFrame) -> DataFrame:
                         m = re.match(r"HTTP/\S+ (\d{3})", headers)
                         status = int(m[1]) if m else None
                     rows.append((name, at, head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), status, headers, body))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in WARC_SCHEMA.split(", ")])
+                    held += len(body)
+                    if held >= WARC_FRAME:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     return files.mapInPandas(run, WARC_SCHEMA)
