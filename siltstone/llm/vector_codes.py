@@ -20,13 +20,13 @@ from siltstone.llm.vectors import lists, matrices, scaled, summed
 
 #: Integers of a component: floor(SCALE * x); beyond MOST they are held there, so that a vector's error fits a long.
 SCALE, MOST = 256, 1 << 26
-#: Bounds are kept in units of 1 / UNIT; lower bounds are rounded down, upper ones up. Lower bounds end at 2^16 - 1.
-UNIT, TOP = 16, (1 << 16) - 1
+#: Bounds are kept in units of 1 / UNIT; lower bounds are rounded down, upper ones up. Lower bounds are one byte each and end at TOP.
+UNIT, TOP = 1, 255
 
 
 def below(squares: np.ndarray) -> np.ndarray:
     """A lower bound of the square roots, in units."""
-    return np.minimum(np.floor(UNIT * np.sqrt(squares)), TOP).astype(np.uint16)
+    return np.minimum(np.floor(UNIT * np.sqrt(squares)), TOP).astype(np.uint8)
 
 
 def above(squares: np.ndarray) -> np.ndarray:
@@ -64,7 +64,7 @@ class Books:
         """The same from the last round's codes and bounds, and how many distances were measured."""
         entries, half, moves = self.entries[part], self.half[part], self.moves[part]
         upper = upper + moves[code]
-        lower = np.maximum(lower.astype(np.int64) - moves, 0).astype(np.uint16)
+        lower = np.maximum(lower.astype(np.int64) - moves, 0).astype(np.uint8)
         best = ((x - entries[code]) ** 2).sum(axis=1)
         tight = above(best)
         measured = len(x)
@@ -104,11 +104,11 @@ def _assigned(state: DataFrame, books: Books, carried: list[str], first: bool) -
                 continue
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(m, parts, width)
             if first:
-                code, upper, lower = np.zeros((m, parts), np.uint8), np.zeros((m, parts), np.int64), np.zeros((m, parts, entries), np.uint16)
+                code, upper, lower = np.zeros((m, parts), np.uint8), np.zeros((m, parts), np.int64), np.zeros((m, parts, entries), np.uint8)
             else:
                 code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(m, parts).copy()
                 upper = batch.column("upper").flatten().to_numpy(zero_copy_only=False).reshape(m, parts).copy()
-                lower = np.frombuffer(b"".join(batch.column("lower").to_pylist()), "<u2").reshape(m, parts, entries).copy()
+                lower = np.frombuffer(b"".join(batch.column("lower").to_pylist()), np.uint8).reshape(m, parts, entries).copy()
             error, measured = np.zeros(m, np.int64), 0
             for p in range(parts):
                 if first:
