@@ -76,7 +76,26 @@ QUERIES = {
     f.__name__: f
     for f in (op1_merkle_audit, op2_lpt_shards, op3_decontaminate, op4_token_files, op5_license_scan, op6_quality_rules, op7_ngram_jaccard, op8_language_id, op9_toxicity, op10_best_fit_packing, op11_embedding_whitening, op12_vector_codes, op13_media_columns)
 }
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Plain Lloyd rounds: all distances each time."""
+    nearest = "SELECT r, p, arg_min(e, (far, e)) AS e, min(far) AS far FROM (SELECT v.r, v.p, b.e, sum((v.c - b.c) * (v.c - b.c)) AS far FROM v JOIN {b} b ON b.p = v.p AND b.d = v.d GROUP BY v.r, v.p, b.e) GROUP BY r, p"
+    out = [f"""k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    v AS MATERIALIZED (SELECT r, i // (n // {parts}) AS p, i % (n // {parts}) AS d, x[i + 1] AS c FROM (SELECT r, x, len(x) AS n, unnest(range(0, len(x))) AS i FROM k)),
+    b0 AS MATERIALIZED (SELECT p, r - 1 AS e, d, c FROM v WHERE r <= {entries})"""]
+    for i in range(rounds):
+        out.append(f"""a{i} AS MATERIALIZED ({nearest.format(b=f"b{i}")}),
+    m{i} AS (SELECT v.p, a.e, v.d, CAST((sum(v.c) - ((sum(v.c) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS c FROM v JOIN a{i} a USING (r, p) GROUP BY v.p, a.e, v.d),
+    b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, b.d, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN m{i} m USING (p, e, d))""")
+    return f"""WITH {", ".join(out)}, z AS ({nearest.format(b=f"b{rounds}")}),
+    f AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM z JOIN k USING (r) GROUP BY r, vec_id, label)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, d)) FROM b{rounds}) AS codebooks_sha256 FROM f"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_vector_codes": _codes_sql(),
     "op1_merkle_audit": """
     SELECT page_id, CAST(floor(page_id / 64.0) AS BIGINT) AS slot,
       CASE page_id % 97 WHEN 5 THEN 'corrupt' WHEN 11 THEN 'missing' ELSE 'extra' END AS status,
