@@ -1,8 +1,10 @@
-"""Scalar text, url, date and hash functions as column expressions; all stay inside the JVM."""
+"""Scalar text, url, date and hash functions as column expressions; all but simhashes() stay inside the JVM."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def normalize_url(url: Column) -> Column:
@@ -127,6 +129,28 @@ def simhash(tokens: Column, bits: int = 64) -> Column:
     return F.concat(*parts)
 
 
+def simhashes(df: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """key, simhash: as simhash() of 64 bits, the bits of a batch's hashes summed at once."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                hashes = part.column(1).to_pylist()
+                n = np.array([len(h) // 8 for h in hashes])
+                # each half is a big-endian number, its lowest bit first
+                octets = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 2, 4)[:, :, ::-1].reshape(-1, 8)
+                ones = np.zeros((len(n), 64), np.int64)
+                if len(octets):
+                    some = np.flatnonzero(n)
+                    ones[some] = np.add.reduceat(np.unpackbits(octets, axis=1, bitorder="little"), (np.cumsum(n) - n)[some], axis=0, dtype=np.int64)
+                text = np.where(2 * ones > n[:, None], ord("1"), ord("0")).astype(np.uint8).tobytes().decode()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([text[i : i + 64] for i in range(0, len(text), 64)], pa.string())], [key, "simhash"])
+
+    hashes = F.unhex(F.array_join(F.transform(tokens, lambda t: F.substring(F.md5(t.cast("binary")), 1, 16)), ""))
+    return df.select(key, hashes.alias("h")).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, simhash string")
+
+
 def _md5_word(at: int):
     return lambda t: F.conv(F.substring(F.md5(t.cast("binary")), at, 8), 16, 10).cast("long")
 

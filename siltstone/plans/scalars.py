@@ -164,8 +164,7 @@ def _(t):
     SELECT d.doc_id, string_agg(CASE WHEN coalesce(s, 0) > 0 THEN '1' ELSE '0' END, '' ORDER BY b.b) AS simhash FROM documents d CROSS JOIN b LEFT JOIN s ON s.doc_id = d.doc_id AND s.b = b.b GROUP BY d.doc_id""",
 )
 def _(t):
-    d = t("documents").select("doc_id", X.word_set(F.col("text")).alias("w"))
-    return d.select("doc_id", X.simhash(F.col("w"), 64).alias("simhash"))
+    return X.simhashes(t("documents"), "doc_id", X.word_set(F.col("text")))
 
 
 @query("c7_sentence_split", r"SELECT doc_id, CAST(i - 1 AS BIGINT) AS idx, s FROM (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, trim(unnest(p), ' ') AS s FROM (SELECT doc_id, string_split_regex(text, '[.!?]+') AS p FROM documents)) WHERE length(s) >= 10")
