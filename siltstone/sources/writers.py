@@ -25,8 +25,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "append") -> None:
-    """One tree of nested partitions; rows of one partition value are gathered first, so that files are few."""
-    df.repartition(*[F.col(c) for c in by]).write.mode(mode).partitionBy(*by).parquet(path)
+    """One tree of nested partitions; rows of one value are gathered first, so that files are few; AQE deals a large value over several tasks and files."""
+    df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(path)
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy", row_group_bytes: int = 128 << 20, mode: str = "errorifexists") -> None:
