@@ -15,18 +15,32 @@ def sentences(df: DataFrame, text: str, least: int) -> DataFrame:
     return parts.select(*others, F.col("idx").cast("long").alias("idx"), F.trim("s").alias("s")).where(F.length("s") >= least)
 
 
+#: Texts that a task holds as Python strings at once, and characters of chunks after which it hands them on.
+SLICE_ROWS, PIECE_CHARS = 64, 1 << 20
+
+
 def _expand(df: DataFrame, key: str, text: str, cut, extra: str = ""):
     """One row for each (key, text) becomes rows of cut(text): (position, chunk), by Arrow batches."""
 
     def run(batches):
         for batch in batches:
-            keys, pos, out = [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, c in enumerate(cut(t or "")):
-                    keys.append(k)
-                    pos.append(i)
-                    out.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(pos, pa.int64()), pa.array(out, pa.string())], [key, "chunk_index", "chunk"])
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.string()]
+            rows, held = [], 0
+
+            def made(rows):
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [key, "chunk_index", "chunk"])
+
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    for i, c in enumerate(cut(t or "")):
+                        rows.append((k, i, c))
+                        held += len(c)
+                        if held >= PIECE_CHARS:
+                            yield made(rows)
+                            rows, held = [], 0
+            if rows:
+                yield made(rows)
 
     return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, chunk_index long, chunk string")
 
@@ -88,6 +102,15 @@ def chunk_tree(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "c.level", "c.chunk_index", "c.start", F.least("c.most", F.col("__n") - F.col("c.start")).cast("long").alias("size"))
 
 
+def chunk_texts(df: DataFrame, key: str, text: str, depth: int) -> DataFrame:
+    """key, level, chunk_index, chunk: the texts of chunk_tree()'s ranges of one level, cut where the text lies."""
+    _, size, shared = LEVELS[depth]
+    last = F.greatest(F.ceil((F.length(text) - shared) / F.lit(size - shared)) - 1, F.lit(0)).cast("long")
+    cut = lambda i: F.substring(F.col(text), (i * (size - shared) + 1).cast("int"), F.lit(size))
+    rows = df.where(F.length(text) > 0).select(key, F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), last), cut)).alias("at", "chunk"))
+    return rows.select(key, F.lit(depth).alias("level"), F.col("at").cast("long").alias("chunk_index"), "chunk")
+
+
 def split_at(df: DataFrame, key: str, text: str, size: int, overlap: int, marks: list[str]) -> DataFrame:
     """key, chunk_index, chunk: at most `size` characters, cut after the last mark past the half (the first mark of the list
     that has one there), else at the size; a chunk begins `overlap` characters before the cut. Nothing follows the text's end."""
