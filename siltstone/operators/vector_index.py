@@ -13,6 +13,8 @@ from siltstone.operators.relational import top_per
 SAMPLE_ROWS, ROUNDS = 20_000, 10
 #: Query vectors sent to all tasks in one block; more are searched block by block.
 QUERY_BLOCK = 1_000
+#: Scores that a task holds at once: rows of a batch are taken in slices.
+SCORES = 1 << 20
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -87,32 +89,34 @@ def add(vectors: DataFrame, key: str, vector: str, path: str) -> None:
 
 
 def scored(rows: DataFrame, ids: list, q: np.ndarray, probed: np.ndarray | None, k: int, threshold: float | None) -> DataFrame:
-    """query_id, key, score of each batch's best k rows for each query (more where they tie): one matrix product a batch.
+    """query_id, key, score of a task's best k rows for each query so far (more where they tie): one matrix product a slice of rows.
 
     rows: key, vector and, with `probed` (queries x cells, boolean), cell. Rows and queries of zeros have no cosine and are not found.
     """
     q = unit(q)
     asked = (q != 0).any(axis=1)
 
+    step = max(SCORES // max(len(q), 1), 1)
+
     def run(batches):
-        for batch in batches:
-            at, m = matrix(batch.column("vector"), q.shape[1])
+        best = np.full((k, len(q)), -np.inf)  # the task's k greatest scores of each query so far
+        for part in (batch.slice(i, step) for batch in batches for i in range(0, batch.num_rows, step)):
+            at, m = matrix(part.column("vector"), q.shape[1])
             keep = (m != 0).any(axis=1)
             at, m = at[keep], unit(m[keep])
-            cells = batch.column("cell").to_numpy(zero_copy_only=False)[at] if probed is not None else np.zeros(len(at), int)
+            cells = part.column("cell").to_numpy(zero_copy_only=False)[at] if probed is not None else np.zeros(len(at), int)
             for c in np.unique(cells).tolist():
                 own = np.flatnonzero(cells == c)
                 who = np.flatnonzero(asked if probed is None else asked & probed[:, c])
                 if not len(who):
                     continue
                 s = np.round(m[own] @ q[who].T, 6)
-                good = np.ones(s.shape, bool)
-                if len(own) > k:
-                    good = s >= np.partition(s, len(own) - k, axis=0)[len(own) - k]
+                best[:, who] = np.partition(np.concatenate([best[:, who], s]), len(own), axis=0)[len(own) :]
+                good = s >= best[:, who].min(axis=0)
                 if threshold is not None:
                     good &= s >= threshold
                 r, w = np.nonzero(good)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in who[w].tolist()], pa.int64()), batch.column("key").take(pa.array(at[own[r]])), pa.array(s[r, w])], ["query_id", "key", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in who[w].tolist()], pa.int64()), part.column("key").take(pa.array(at[own[r]])), pa.array(s[r, w])], ["query_id", "key", "score"])
 
     return rows.mapInArrow(run, f"query_id long, key {dict(rows.dtypes)['key']}, score double")
 
