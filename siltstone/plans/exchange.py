@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siltstone.operators import chunking, governance, retrieval as V
@@ -88,7 +90,8 @@ _VECTOR = "[CAST('0x' || substr(m, 1 + 2 * i, 2) AS INT) / 255e0 FOR i IN range(
 
 def _embedded(rows, text: str):
     """The fallback embedding: the 16 bytes of the md5 over 255, then zeros up to 384."""
-    byte = lambda i: F.conv(F.substring(F.md5(F.col(text).cast("binary")), 1 + 2 * i, 2), 16, 10).cast("double") / 255.0
+    word = lambda i: F.conv(F.substring(F.md5(F.col(text).cast("binary")), 1 + 8 * (i // 4), 8), 16, 10).cast("long")
+    byte = lambda i: F.shiftright(word(i), 24 - 8 * (i % 4)).bitwiseAND(F.lit(255)).cast("double") / 255.0
     return F.concat(F.array(*[byte(i) for i in range(16)]), F.array_repeat(F.lit(0.0), 368))
 
 
@@ -101,10 +104,16 @@ def _(t):
 @query("s26_embedding_index", f"SELECT doc_id, level, chunk_index, round(list_sum({_VECTOR}), 6) AS total FROM (SELECT doc_id, 3 AS level, i AS chunk_index, md5(substr(text, i * 103 + 1, 128)) AS m FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 25) / 103e0) AS BIGINT), 1))) AS i FROM documents WHERE length(text) > 0))")
 def _(t):
     """Sentence-size chunks of every text with their vectors, as a table."""
-    d = t("documents").select("doc_id", "text")
-    c = chunking.chunk_tree(d, "doc_id", "text").where("level = 3").join(d, "doc_id").select("doc_id", "level", "chunk_index", F.substring("text", F.col("start") + 1, F.col("size")).alias("chunk"))
+    c = chunking.chunk_texts(t("documents").select("doc_id", "text"), "doc_id", "text", 3)
     index = _back(c.select("doc_id", "level", "chunk_index", _embedded(c, "chunk").alias("v")), "index")
-    return index.select("doc_id", "level", "chunk_index", F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+
+    def totals(batches):
+        for batch in batches:
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.round(v.sum(axis=1), 6))], ["doc_id", "level", "chunk_index", "total"])
+
+    kinds = dict(index.dtypes)
+    return index.select("doc_id", "level", "chunk_index", "v").mapInArrow(totals, f"doc_id {kinds['doc_id']}, level {kinds['level']}, chunk_index {kinds['chunk_index']}, total double")
 
 
 @query("s32_graph_export", "SELECT 'part' AS kind, count(*) AS n FROM (SELECT DISTINCT l_partkey FROM lineitem) UNION ALL SELECT 'supplier', count(*) FROM (SELECT DISTINCT l_suppkey FROM lineitem) UNION ALL SELECT 'edge', count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
