@@ -84,9 +84,14 @@ def path_centralities(edges: DataFrame, sources: DataFrame | None = None) -> Dat
     return nodes.join(total, "node", "left").join(closeness, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"), "closeness")
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A table of nodes for joins that are made again each turn: it is not sent through the driver, however small it looks."""
+    return df.hint("merge")
+
+
 def _modularity(weights: DataFrame, labels: DataFrame, total: int) -> float:
     """Of weighted edges (a, b, w in both directions, loops once) under labels (node, c)."""
-    at = weights.join(labels.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
+    at = weights.join(_shuffled(labels.select(F.col("node").alias("a"), F.col("c").alias("ca"))), "a").join(_shuffled(labels.select(F.col("node").alias("b"), F.col("c").alias("cb"))), "b")
     by = at.groupBy("ca").agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0)).alias("inside"), F.sum("w").alias("all"))
     return by.agg(F.sum(F.col("inside") / total - (F.col("all") / total) ** 2)).first()[0] or 0.0
 
@@ -98,10 +103,10 @@ def _move(weights: DataFrame, labels: DataFrame, degrees: DataFrame, total: int,
     that would swap their communities for ever seldom both do.
     """
     whole = lambda c: F.col(c).cast("decimal(38,0)")
-    near = weights.where("a <> b").join(labels.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("w"))
-    sums = labels.join(degrees, "node").groupBy("c").agg(F.sum("k").alias("all"))
-    own = labels.join(degrees, "node").where(F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2).select("node", F.col("c").alias("own"), "k")
-    open_ = near.join(own, "node").join(sums, "c")
+    near = weights.where("a <> b").join(_shuffled(labels.select(F.col("node").alias("b"), "c")), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("w"))
+    sums = labels.join(_shuffled(degrees), "node").groupBy("c").agg(F.sum("k").alias("all"))
+    own = labels.join(_shuffled(degrees), "node").where(F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2).select("node", F.col("c").alias("own"), "k")
+    open_ = near.join(_shuffled(own), "node").join(_shuffled(sums), "c")
     stays = F.col("c") == F.col("own")
     gain = whole("w") * F.lit(total).cast("decimal(38,0)") - whole("k") * (whole("all") - F.when(stays, whole("k")).otherwise(F.lit(0).cast("decimal(38,0)")))
     best = open_.select("node", "c", "own", gain.cast("decimal(38,0)").alias("gain"), stays.alias("stays"), "k")
@@ -109,8 +114,8 @@ def _move(weights: DataFrame, labels: DataFrame, degrees: DataFrame, total: int,
     picked = best.groupBy("node").agg(first.alias("best"), F.max("gain").alias("top"), F.max(F.when(F.col("stays"), F.col("gain"))).alias("stay"), F.min("own").alias("own"), F.min("k").alias("k"))
     # a node without a link into its own community loses its own weight there by staying
     lone = -(whole("k") * (whole("all") - whole("k"))).cast("decimal(38,0)")
-    moved = picked.join(sums.withColumnRenamed("c", "own"), "own").where(F.col("top") > F.coalesce("stay", lone)).select("node", "best")
-    return labels.join(moved, "node", "left").select("node", F.coalesce("best", "c").alias("c"))
+    moved = picked.join(_shuffled(sums.withColumnRenamed("c", "own")), "own").where(F.col("top") > F.coalesce("stay", lone)).select("node", "best")
+    return labels.join(_shuffled(moved), "node", "left").select("node", F.coalesce("best", "c").alias("c"))
 
 
 def louvain(edges: DataFrame, tolerance: float = 1e-3, turns: int = 12, passes: int = 12) -> DataFrame:
@@ -141,9 +146,9 @@ def louvain(edges: DataFrame, tolerance: float = 1e-3, turns: int = 12, passes:
             break
         # communities by their smallest node, as the nodes of the next pass
         name = labels.groupBy("c").agg(F.min("node").alias("low"))
-        labels = written(labels.join(name, "c").select("node", F.col("low").alias("c")), "labels")
-        found = written(found.join(labels.select(F.col("node").alias("community"), "c"), "community").select("node", F.col("c").alias("community")), "communities")
-        a, b = (labels.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+        labels = written(labels.join(_shuffled(name), "c").select("node", F.col("low").alias("c")), "labels")
+        found = written(found.join(_shuffled(labels.select(F.col("node").alias("community"), "c")), "community").select("node", F.col("c").alias("community")), "communities")
+        a, b = (_shuffled(labels.select(F.col("node").alias(x), F.col("c").alias(f"c{x}"))) for x in "ab")
         weights = written(weights.join(a, "a").join(b, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "weights")
     return found
 
@@ -151,8 +156,8 @@ def louvain(edges: DataFrame, tolerance: float = 1e-3, turns: int = 12, passes:
 def community_strengths(edges: DataFrame, communities: DataFrame, least: int = 3) -> DataFrame:
     """community, size, inside, outside, strength = inside / (inside + outside + 1) of communities with `least` nodes or more."""
     both = undirected(edges).where("src < dst")
-    a, b = (communities.select(F.col("node").alias(x), F.col("community").alias(f"c_{x}")) for x in ("src", "dst"))
+    a, b = (_shuffled(communities.select(F.col("node").alias(x), F.col("community").alias(f"c_{x}"))) for x in ("src", "dst"))
     ends = both.join(a, "src").join(b, "dst").select(F.explode(F.array_distinct(F.array("c_src", "c_dst"))).alias("community"), (F.col("c_src") == F.col("c_dst")).alias("same"))
     links = ends.groupBy("community").agg(F.count_if("same").alias("inside"), F.count_if(~F.col("same")).alias("outside"))
     sizes = communities.groupBy("community").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
-    return sizes.join(links, "community").select("community", "size", "inside", "outside", F.round(F.col("inside") / (F.col("inside") + F.col("outside") + 1), 6).alias("strength"))
+    return sizes.join(_shuffled(links), "community").select("community", "size", "inside", "outside", F.round(F.col("inside") / (F.col("inside") + F.col("outside") + 1), 6).alias("strength"))
