@@ -10,10 +10,18 @@ def ascii_only(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\x00-\\x7F°]", " ")
 
 
-def detected(df: DataFrame, key: str, text: str, patterns: list[tuple[str, str, str]], flags: str = "") -> DataFrame:
-    """key, category, pattern, matches: of each (category, name, pattern) that the text holds, all matches in order; one pass over the texts."""
-    rows = df.select(key, ascii_only(F.col(text)).alias("__t"))
-    each = [F.struct(F.lit(c).alias("category"), F.lit(n).alias("pattern"), F.regexp_extract_all("__t", F.lit(flags + p), F.lit(0)).alias("matches")) for c, n, p in patterns]
+def detected(df: DataFrame, key: str, text: str, patterns: list[tuple[str, str, str]], flags: str = "", held: dict[str, str] | None = None) -> DataFrame:
+    """key, category, pattern, matches: of each (category, name, pattern) that the text holds, all matches in order; one pass over the texts.
+
+    `held`: by the pattern's name what every match of it holds, in lower case; texts without it are not searched for the pattern.
+    """
+    rows = df.select(key, ascii_only(F.col(text)).alias("__t")).withColumn("__l", F.lower("__t"))
+
+    def matches(name: str, pattern: str) -> Column:
+        every = F.regexp_extract_all("__t", F.lit(flags + pattern), F.lit(0))
+        return F.when(F.contains("__l", F.lit(held[name])), every).otherwise(F.array().cast("array<string>")) if name in (held or {}) else every
+
+    each = [F.struct(F.lit(c).alias("category"), F.lit(n).alias("pattern"), matches(n, p).alias("matches")) for c, n, p in patterns]
     return rows.select(key, F.explode(F.array(*each)).alias("m")).where(F.size("m.matches") > 0).select(key, "m.*")
 
 

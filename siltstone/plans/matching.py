@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.functions.patterns import FLAGS, IDENTIFIERS, PERSONAL
+from siltstone.functions.patterns import FLAGS, HELD, IDENTIFIERS, PERSONAL
 from siltstone.operators import matching as M
 from siltstone.registry import query
 
@@ -23,7 +23,7 @@ PLAIN = "x AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F
     + ") y WHERE len(h) > 0",
 )
 def _(t):
-    found = M.detected(t("documents"), "doc_id", "text", IDENTIFIERS, FLAGS)
+    found = M.detected(t("documents"), "doc_id", "text", IDENTIFIERS, FLAGS, HELD)
     return found.select("doc_id", "category", "pattern", F.size("matches").cast("long").alias("n"), F.get("matches", F.lit(0)).alias("first"), F.element_at("matches", -1).alias("last"))
 
 
