@@ -9,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from siltstone.operators import graph as G
+from siltstone.operators.networks import written
+from siltstone.operators.vector_index import matrix, unit
+
+#: Vectors of one block (a task holds two), fewest blocks of a large table, and cosines that a task holds at once.
+BLOCK_ROWS, BLOCKS, SCORES = 32_768, 8, 1 << 21
 
 
 def grouped(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -63,18 +68,53 @@ def signature_groups(signatures: DataFrame, key: str, column: str, values: int,
     return s.join(roots, "sig").select(F.col("key").alias(key), "leader")
 
 
-def hyperplane_keys(vectors: DataFrame, key: str, vector: str, bits: int, tables: int, seed: int = 42) -> DataFrame:
-    """node, x: for each of `tables` tables the signs of `bits` seeded projections, as one number; vectors are of one length."""
+def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest places of the classes after the links a, b."""
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((top := root[root]) != root).any():
+            root = top
+
 
-    def run(batches):
-        for batch in batches:
-            rows = batch.column(1).to_pylist()
-            if not rows:
-                continue
-            v = np.array(rows, dtype=float)
-            planes = np.random.RandomState(seed).randn(v.shape[1], bits * tables)
-            signs = ((v @ planes) >= 0).reshape(len(v), tables, bits).astype(np.int64)
-            codes = signs @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << bits)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column(0).to_pylist()), tables), pa.int64()), pa.array(codes.ravel(), pa.int64())], ["node", "x"])
+def vector_groups(vectors: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+    """key, leader: classes of vectors linked by a cosine of `least` or more, exact; the leader is the smallest key.
 
-    return vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("node"), vector).mapInArrow(run, "node long, x long")
+    Every two blocks of vectors meet in one task, as matrix products of slices; a task hands on one link a row at most, whatever the
+    number of copies. Time is quadratic in the vectors, memory is not. Only vectors of one width are compared; null vectors, those
+    with nulls inside and zeros are linked with nothing.
+    """
+    v = written(vectors.select(F.col(key).alias("node"), F.col(vector).alias("v")), "vectors")
+    n = v.count()
+    blocks = max(-(-n // BLOCK_ROWS), min(BLOCKS, n // 256 + 1))
+    kind = dict(v.dtypes)["node"]
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        at, m = matrix(rows["v"], rows["width"][0].as_py())
+        node, one = rows["node"].take(pa.array(at)), rows["one"].to_numpy()[at]
+        m = unit(m)
+        # rows of the first block against those of the second, or of the only one among themselves
+        alone = rows["i"][0].as_py() == rows["j"][0].as_py()
+        left = np.flatnonzero(one)
+        right = left if alone else np.flatnonzero(~one)
+        root = np.arange(len(at))
+        step = max(SCORES // max(len(right), 1), 1)
+        for i in range(0, len(left), step):
+            own, other = left[i : i + step], right[i:] if alone else right
+            a, b = np.nonzero(m[own] @ m[other].T >= least)
+            root = _united(root, own[a], other[b])
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"src": node.take(pa.array(moved)), "dst": node.take(pa.array(root[moved]))})
+
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    both = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    sent = v.where(F.size("v") > 0).select("node", "v", F.size("v").alias("width"), block.alias("block"), both)
+    sent = sent.select("node", "v", "width", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("one"))
+    # a number of tasks is asked for: AQE would join groups of few bytes, whose work is not small
+    sent = sent.repartition(min(blocks * (blocks + 1), 2_000), "width", "i", "j")
+    links = sent.groupBy("width", "i", "j").applyInArrow(run, f"src {kind}, dst {kind}")
+    roots = G.connected(written(links, "links"))
+    return v.join(roots, "node", "left").select(F.col("node").alias(key), F.coalesce("root", "node").alias("leader"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import duplicates as D, graph as G, retrieval as V
+from siltstone.operators import duplicates as D, graph as G
 from siltstone.plans.statements import signatures
 from siltstone.registry import ORACLE_SQL, query
 
@@ -69,8 +69,8 @@ def _(t):
     return both.select("doc_id", "leader", F.round(score, 5).alias("score"), (score >= 0.85).alias("same"))
 
 
-#: A cosine of 0.95 or more: in one table of 12 signs two such vectors agree with a chance of 0.28 at least, in one of 24 with 0.9996.
-BITS, TABLES, LEAST = 12, 24, 0.95
+#: The cosine that links two vectors.
+LEAST = 0.95
 _TURNED = "list_transform(range(1, len(embedding) + 1), lambda i: 0.9e0 * embedding[i] + 0.1e0 * embedding[len(embedding) + 1 - i])"
 
 
@@ -79,13 +79,7 @@ _TURNED = "list_transform(range(1, len(embedding) + 1), lambda i: 0.9e0 * embedd
     f"WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings UNION ALL SELECT vec_id + 1000000000, {_TURNED} FROM embeddings WHERE label % 2 = 1), p AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= {LEAST}), {_CLOSED.format(n='e', p='p')} SELECT vec_id, coalesce(root, vec_id) AS leader FROM v LEFT JOIN ec ON node = vec_id",
 )
 def _(t):
-    """Classes of vectors and of turned copies of every second label's; candidates share the signs of one table, and are verified."""
+    """Classes of vectors and of turned copies of every second label's; all are compared, block by block."""
     e = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     turned = t("embeddings").where("label % 2 = 1").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), F.zip_with("embedding", F.reverse("embedding"), lambda x, y: 0.9 * x + 0.1 * y).alias("e"))
-    v = e.union(turned)
-
-    def verify(pairs):
-        both = pairs.join(v.select(F.col("vec_id").alias("a"), F.col("e").alias("x")), "a").join(v.select(F.col("vec_id").alias("b"), F.col("e").alias("y")), "b")
-        return both.where(V.cosine(F.col("x"), F.col("y")) >= LEAST).select("a", "b")
-
-    return D.grouped(D.hyperplane_keys(v, "vec_id", "e", BITS, TABLES), verify).select(F.col("node").alias("vec_id"), F.col("root").alias("leader"))
+    return D.vector_groups(e.union(turned), "vec_id", "e", LEAST)
