@@ -138,3 +138,20 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, rig
     r = right.withColumn("__cell", F.explode(F.array(*[cell(right_ts) + d for d in (-1, 0, 1)])))
     near = F.abs(F.unix_micros(F.col(left_ts).cast("timestamp")) - F.unix_micros(F.col(right_ts).cast("timestamp"))) <= seconds * 1_000_000
     return l.join(r, [*keys, "__cell"]).where(near).drop("__cell")
+
+
+def paired(df: DataFrame, keys: list[str], row: str, block: int = 2_048) -> DataFrame:
+    """keys, x, y: every two rows of equal keys whose `row` differs, once, as structs in no order.
+
+    A key's rows are dealt into blocks of about `block` rows, and every two blocks meet in one place: a row is sent once for each
+    block of its key, a task holds one block, and pairs are made in the task that judges them, never shuffled.
+    """
+    blocks = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__n"))
+    tasks = blocks.agg(F.sum(F.col("__n") * (F.col("__n") + 1) / 2)).first()[0] or 0
+    at = df.join(blocks, keys).select(*keys, F.struct(*df.columns).alias("__r"), "__n", F.pmod(F.xxhash64(row), "__n").cast("int").alias("__b"))
+    x = at.select(*keys, F.col("__b").alias("__i"), F.explode(F.sequence(F.col("__b"), F.col("__n") - 1)).alias("__j"), F.col("__r").alias("x"))
+    y = at.select(*keys, F.explode(F.sequence(F.lit(0), F.col("__b"))).alias("__i"), F.col("__b").alias("__j"), F.col("__r").alias("y"))
+    # a number of tasks is asked for: the rows are few and their pairs are not, so that AQE would join them into one
+    n = min(max(2 * int(tasks), 1), 2_000)
+    met = x.repartition(n, *keys, "__i", "__j").join(y.repartition(n, *keys, "__i", "__j"), [*keys, "__i", "__j"])
+    return met.where((F.col("__i") < F.col("__j")) | (F.col(f"x.{row}") < F.col(f"y.{row}"))).select(*keys, "x", "y")
