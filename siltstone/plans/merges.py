@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators.relational import top_per
+from siltstone.operators import sparse as S
 from siltstone.registry import query
 from siltstone.sources import keyed_table as K
 from siltstone.sources.writers import shared_path
@@ -12,9 +12,7 @@ from siltstone.sources.writers import shared_path
 
 def _keywords(docs):
     """doc_id, keyword, frequency: the 50 most frequent words of three letters and more."""
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("keyword"))
-    counted = words.groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("frequency"))
-    return top_per(counted, ["doc_id"], [F.desc("frequency"), "keyword"], 50, "__n").drop("__n")
+    return S.frequent_words(docs, "doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0)), 50)
 
 
 KEYWORDS = """k AS (SELECT doc_id, count(*) AS keywords, sum(n) AS total FROM (SELECT doc_id, w, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, w) AS r
@@ -35,15 +33,16 @@ def _(t):
     K.create(_keywords(docs), words, ["doc_id"], 32)
     first = docs.where("lang = 'de'").withColumns({"source": F.lit("first"), "text": F.concat(F.lit("new words here "), "text")})
     K.merge(spark, path, first, ["doc_id"], K.replacing(["doc_id"], ["source"]))
-    second = K.read(spark, path).join(docs.where("source = 'src1'").select("doc_id"), "doc_id", "left_semi").withColumn("source", F.lit("second"))
+    second = K.read(spark, path).join(S.sent(docs.where("source = 'src1'").select("doc_id").distinct()), "doc_id", "left_semi").withColumn("source", F.lit("second"))
     K.merge(spark, path, second, ["doc_id"], K.replacing(["doc_id"], ["source"]))
-    K.merge(spark, words, _keywords(first), ["doc_id"], K.regrouped(["doc_id"]))
+    K.merge(spark, words, S.written(_keywords(first), "keywords"), ["doc_id"], K.regrouped(["doc_id"]))
     gone = docs.where("lang = 'es'").select("doc_id")
     for table in (path, words):
         K.merge(spark, table, gone, ["doc_id"], K.without(["doc_id"]))
     kept = K.read(spark, words).groupBy("doc_id").agg(F.count(F.lit(1)).alias("keywords"), F.sum("frequency").alias("total"))
     zero = F.lit(0).cast("long")
-    return K.read(spark, path).join(kept, "doc_id", "left").select("doc_id", "source", F.length("text").cast("long").alias("chars"), F.coalesce("keywords", zero).alias("keywords"), F.coalesce("total", zero).alias("total"))
+    sizes = K.read(spark, path).select("doc_id", "source", F.length("text").cast("long").alias("chars"))  # so that no text is joined
+    return sizes.join(kept, "doc_id", "left").select("doc_id", "source", "chars", F.coalesce("keywords", zero).alias("keywords"), F.coalesce("total", zero).alias("total"))
 
 
 def _halves(t):
