@@ -5,13 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.operators.networks import written
 
 #: Bins of a feature, depth of a tree, smallest sum of weights in a leaf, step, damping of leaf values.
 BINS, DEPTH, LEAST, RATE, RIDGE = 32, 3, 1.0, 0.3, 1.0
+#: Queries whose gradients a task makes.
+QUERIES = 1_000
 
 
 def lambdas(score: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -24,12 +26,22 @@ def lambdas(score: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ideal = (np.sort(worth)[::-1] / np.log2(np.arange(len(worth)) + 2)).sum()
     if ideal == 0:
         return np.zeros(len(score)), np.zeros(len(score))
-    better = gain[:, None] > gain[None, :]
-    change = np.abs((worth[:, None] - worth[None, :]) * (discount[:, None] - discount[None, :])) / ideal
-    rho = 1 / (1 + np.exp(np.clip(score[:, None] - score[None, :], -30, 30)))
-    pull = np.where(better, rho * change, 0.0)
-    weight = np.where(better, rho * (1 - rho) * change, 0.0)
-    return pull.sum(axis=1) - pull.sum(axis=0), weight.sum(axis=1) + weight.sum(axis=0)
+    by = np.argsort(gain, kind="stable")
+    s, w, d = score[by], worth[by], discount[by]
+    g, h = np.zeros(len(s)), np.zeros(len(s))
+    starts = np.flatnonzero(np.diff(gain[by])) + 1  # only pairs of different relevance are made: each level with all below it
+    for a, e in zip(starts, [*starts[1:], len(s)]):
+        change = (w[a] - w[:a]) * np.abs(d[a:e, None] - d[None, :a]) / ideal
+        rho = 1 / (1 + np.exp(np.clip(s[a:e, None] - s[None, :a], -30, 30)))
+        pull = rho * change
+        weight = pull * (1 - rho)
+        g[a:e] += pull.sum(axis=1)
+        g[:a] -= pull.sum(axis=0)
+        h[a:e] += weight.sum(axis=1)
+        h[:a] += weight.sum(axis=0)
+    back = np.empty_like(by)
+    back[by] = np.arange(len(by))
+    return g[back], h[back]
 
 
 @dataclass
@@ -40,24 +52,20 @@ class Ranker:
     limits: list[list[float]]
     trees: list = field(default_factory=list)
 
-    def binned(self) -> list[Column]:
-        """The bin of each feature: limits below the value; nulls are bin 0."""
-        return [F.coalesce(sum((F.col(f) > v).cast("int") for v in own) if own else F.lit(0), F.lit(0)).alias(f"b{i}") for i, (f, own) in enumerate(zip(self.features, self.limits))]
-
-    def value(self, tree, name=lambda i: F.col(f"b{i}")) -> Column:
+    def value(self, tree) -> Column:
+        """What a tree gives a row: a bin above a cut is a value above the cut's limit; nulls are in bin 0."""
         if not isinstance(tree, tuple):
             return F.lit(float(tree))
         i, cut, low, high = tree
-        return F.when(name(i) <= cut, self.value(low, name)).otherwise(self.value(high, name))
+        above = F.coalesce(F.col(self.features[i]) > self.limits[i][cut], F.lit(False)) if cut < len(self.limits[i]) else F.lit(False)
+        return F.when(above, self.value(high)).otherwise(self.value(low))
 
     def score(self, rows: DataFrame) -> DataFrame:
         """rows with `score`, in the JVM. A column of that name is replaced."""
-        names = [c for c in rows.columns if c != "score"]
-        binned = rows.select(*names, *self.binned())
         total = F.lit(0.0)
         for t in self.trees:
             total = total + self.value(t)
-        return binned.select(*names, total.alias("score"))
+        return rows.select(*[c for c in rows.columns if c != "score"], total.alias("score"))
 
 
 def _split(histogram: dict, nodes: list[int], features: int) -> dict:
@@ -81,49 +89,123 @@ def _split(histogram: dict, nodes: list[int], features: int) -> dict:
 def train(rows: DataFrame, query: str, relevance: str, features: list[str], rounds: int = 10) -> Ranker:
     """A ranker from rows of (query, relevance, features).
 
-    Limits are quantiles. Each round, gradients are made query by query (a query's candidates are a bounded list), and each level of
-    the tree asks Spark for sums by node, feature and bin, from which the driver, whatever the rows, picks the cuts. Rows of a null
-    query or relevance are left out.
+    Limits are quantiles. A query's candidates are a bounded list and lie in one row, in an order that only their values fix. Each
+    round, gradients are made query by query, and each level of the tree asks Spark for sums by node, feature and bin, of which a
+    task sends one table and from which the driver, whatever the rows, picks the cuts. Rows of a null query or relevance are left out.
     """
     rows = rows.where(F.col(query).isNotNull() & F.col(relevance).isNotNull())
     cuts = rows.approxQuantile(features, [i / BINS for i in range(1, BINS)], 0.001) if rows.head(1) else [[] for _ in features]
     model = Ranker(features, [sorted(set(c)) for c in cuts])
-    held = written(rows.select(F.col(query).alias("q"), F.col(relevance).cast("double").alias("gain"), *model.binned()), "ranking")
-    bins = [f"b{i}" for i in range(len(features))]
-
-    def gradients(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["gain", *bins]).reset_index(drop=True)  # the same for any order of rows
-        g, h = lambdas(pdf["score"].to_numpy(float), pdf["gain"].to_numpy(float))
-        return pdf.drop(columns="score").assign(g=g, h=h)
-
+    held = _packed(rows, query, relevance, model)
+    lists = ", ".join(f"b{i} array<tinyint>" for i in range(len(features)))
     for _ in range(rounds):
-        total = F.lit(0.0)
-        for t in model.trees:
-            total = total + model.value(t)
-        schema = "q " + dict(held.dtypes)["q"] + ", gain double, " + ", ".join(f"{b} int" for b in bins) + ", g double, h double"
-        pulled = written(held.withColumn("score", total).groupBy("q").applyInPandas(gradients, schema), "gradients")
+        pulled = written(held.mapInArrow(_gradients(list(model.trees), len(features)), f"{lists}, g array<double>, h array<double>"), "gradients")
         grown: dict[int, tuple] = {}
         leaves = [1]
         for _ in range(DEPTH):
-            node = _node(grown)
-            each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(b).alias("b")) for i, b in enumerate(bins)]))
-            sums = pulled.select(node.alias("node"), "g", "h", each.alias("x")).where(F.col("node").isin(leaves)).groupBy("node", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-            found = _split({(r["node"], r["f"], r["b"]): (r["g"], r["h"]) for r in sums}, leaves, len(features))
+            found = _split(_sums(pulled, grown, leaves, range(len(features))), leaves, len(features))
             grown.update(found)
             leaves = [c for n in found for c in (2 * n, 2 * n + 1)]
             if not leaves:
                 break
-        value = {r["node"]: RATE * r["g"] / (r["h"] + RIDGE) for r in pulled.groupBy(_node(grown).alias("node")).agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}
-        model.trees.append(_tree(grown, value, 1))
+        ends = [c for n in grown for c in (2 * n, 2 * n + 1) if c not in grown] or [1]
+        total = {n: (0.0, 0.0) for n in ends}
+        for (n, _, _), (g, h) in sorted(_sums(pulled, grown, ends, [0]).items()):
+            total[n] = (total[n][0] + g, total[n][1] + h)
+        model.trees.append(_tree(grown, {n: RATE * g / (h + RIDGE) for n, (g, h) in total.items()}, 1))
     return model
 
 
-def _node(grown: dict, at: int = 1) -> Column:
-    """The number of the leaf that a row falls into: children of n are 2n and 2n + 1."""
-    if at not in grown:
-        return F.lit(at)
-    f, b = grown[at]
-    return F.when(F.col(f"b{f}") <= b, _node(grown, 2 * at)).otherwise(_node(grown, 2 * at + 1))
+def _packed(rows: DataFrame, query: str, relevance: str, model: Ranker) -> DataFrame:
+    """A row for each query: gain and b0, b1, ... (bins: limits below the value; nulls are bin 0) of its candidates as lists, sorted by all of them."""
+    limits = [np.array(own, float) for own in model.limits]
+
+    def run(batches):
+        for batch in batches:
+            offsets, (gain, *values) = _flat(batch.column("d"))
+            bins = [np.where(v.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(own, v.to_numpy(zero_copy_only=False))).astype(np.int8) for v, own in zip(values, limits)]
+            gain = gain.to_numpy()
+            order = np.lexsort((*bins[::-1], gain, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))))
+            yield _lists(offsets, {"gain": gain[order], **{f"b{i}": b[order] for i, b in enumerate(bins)}})
+
+    struct = F.struct(F.col(relevance).cast("double").alias("gain"), *[F.col(f).cast("double").alias(f"v{i}") for i, f in enumerate(model.features)])
+    # a number of tasks is asked for: the rows are few and the work is not, so that AQE would join them into few
+    tasks = rows.select(F.col(query).alias("q")).distinct().count() // QUERIES
+    tasks = min(max(tasks, rows.sparkSession.sparkContext.defaultParallelism), 2_000)
+    lists = rows.select(F.col(query).alias("q"), struct.alias("d")).repartition(tasks, "q").groupBy("q").agg(F.collect_list("d").alias("d")).select("d")
+    return written(lists.mapInArrow(run, "gain array<double>, " + ", ".join(f"b{i} array<tinyint>" for i in range(len(limits)))), "ranking")
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, list]:
+    """Where each list begins (and the last ends), and the elements; of structs, their fields."""
+    offsets = lists.offsets.to_numpy()
+    flat = lists.flatten()
+    return offsets - offsets[0], flat.flatten() if pa.types.is_struct(flat.type) else [flat]
+
+
+def _lists(offsets: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    at = pa.array(offsets, pa.int32())
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(v)) for v in columns.values()], list(columns))
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy()
+
+
+def _gradients(trees: list, features: int):
+    """Bins of each query and the gradients of its candidates under the trees."""
+
+    def value(tree, bins):
+        if not isinstance(tree, tuple):
+            return np.full(len(bins[0]), float(tree))
+        i, cut, low, high = tree
+        return np.where(bins[i] <= cut, value(low, bins), value(high, bins))
+
+    def run(batches):
+        for batch in batches:
+            offsets, (gain,) = _flat(batch.column("gain"))
+            gain, bins = gain.to_numpy(), [_column(batch, f"b{i}") for i in range(features)]
+            score, g, h = np.zeros(len(gain)), np.zeros(len(gain)), np.zeros(len(gain))
+            for t in trees:
+                score += value(t, bins)
+            for a, e in zip(offsets[:-1], offsets[1:]):
+                g[a:e], h[a:e] = lambdas(score[a:e], gain[a:e])
+            yield _lists(offsets, {**{f"b{i}": b for i, b in enumerate(bins)}, "g": g, "h": h})
+
+    return run
+
+
+def _sums(pulled: DataFrame, grown: dict, nodes: list[int], features) -> dict:
+    """(node, feature, bin) -> sums of g and h over the rows that fall into one of the nodes."""
+    features = list(features)
+
+    def run(batches):
+        slot = np.full(2 * max([*nodes, *grown]) + 2, -1)
+        slot[nodes] = np.arange(len(nodes))
+        sums = np.zeros((2, len(features), len(nodes) * BINS))
+        for batch in batches:
+            need = {f for f, _ in grown.values()} | set(features)
+            bins = {f: _column(batch, f"b{f}") for f in need}
+            at = slot[_node(grown, bins, len(bins[features[0]]))]
+            for k, pull in enumerate(_column(batch, c)[at >= 0] for c in "gh"):
+                for j, f in enumerate(features):
+                    sums[k, j] += np.bincount(at[at >= 0] * BINS + bins[f][at >= 0], pull, sums.shape[2])
+        j, cell = np.nonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.array(nodes)[cell // BINS], np.array(features)[j], cell % BINS, sums[0, j, cell], sums[1, j, cell])], ["node", "f", "b", "g", "h"])
+
+    need = sorted({f for f, _ in grown.values()} | set(features))
+    parts = pulled.select(*[f"b{f}" for f in need], "g", "h").mapInArrow(run, "node long, f long, b long, g double, h double")
+    return {(r["node"], r["f"], r["b"]): (r["g"], r["h"]) for r in parts.groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}
+
+
+def _node(grown: dict, bins: dict, n: int) -> np.ndarray:
+    """The number of the leaf that each row falls into: children of n are 2n and 2n + 1."""
+    at = np.ones(n, int)
+    for node in sorted(grown):
+        f, cut = grown[node]
+        hit = at == node
+        at[hit] = 2 * node + (bins[f][hit] > cut)
+    return at
 
 
 def _tree(grown: dict, value: dict, at: int):
