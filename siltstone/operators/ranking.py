@@ -14,10 +14,16 @@ from siltstone.operators.networks import written
 BINS, DEPTH, LEAST, RATE, RIDGE = 32, 3, 1.0, 0.3, 1.0
 #: Queries whose gradients a task makes.
 QUERIES = 1_000
+#: Pairs of different scores that a task holds at once.
+PAIRS = 1_000_000
 
 
 def lambdas(score: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(gradient, weight) of each document of one query: each pair of different relevance pulls by what swapping it would change in nDCG."""
+    """(gradient, weight) of each document of one query: each pair of different relevance pulls by what swapping it would change in nDCG.
+
+    Documents of equal score and relevance meet as sums, exactly: a pair's pull is its scores' share times a difference of discounts,
+    whose sign the scores fix. A query costs the square of its different scores, PAIRS of them at once.
+    """
     order = np.argsort(-score, kind="stable")
     rank = np.empty(len(score), int)
     rank[order] = np.arange(len(score))
@@ -26,22 +32,28 @@ def lambdas(score: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ideal = (np.sort(worth)[::-1] / np.log2(np.arange(len(worth)) + 2)).sum()
     if ideal == 0:
         return np.zeros(len(score)), np.zeros(len(score))
-    by = np.argsort(gain, kind="stable")
-    s, w, d = score[by], worth[by], discount[by]
-    g, h = np.zeros(len(s)), np.zeros(len(s))
-    starts = np.flatnonzero(np.diff(gain[by])) + 1  # only pairs of different relevance are made: each level with all below it
-    for a, e in zip(starts, [*starts[1:], len(s)]):
-        change = (w[a] - w[:a]) * np.abs(d[a:e, None] - d[None, :a]) / ideal
-        rho = 1 / (1 + np.exp(np.clip(s[a:e, None] - s[None, :a], -30, 30)))
-        pull = rho * change
-        weight = pull * (1 - rho)
-        g[a:e] += pull.sum(axis=1)
-        g[:a] -= pull.sum(axis=0)
-        h[a:e] += weight.sum(axis=1)
-        h[:a] += weight.sum(axis=0)
-    back = np.empty_like(by)
-    back[by] = np.arange(len(by))
-    return g[back], h[back]
+    values, at = np.unique(score, return_inverse=True)
+    levels, of = np.unique(gain, return_inverse=True)
+    n, step = len(levels), np.subtract.outer(2.0**levels, 2.0**levels)[of] / ideal  # what each document is worth more than each level
+    up, down, both = np.maximum(step, 0), np.maximum(-step, 0), np.abs(step)
+    sums = np.hstack([np.bincount(at * n + of, x, len(values) * n).reshape(-1, n) for x in (np.ones(len(score)), discount)])
+    far = lambda m: discount[:, None] * m[at, :n] - m[at, n:]
+    pulls = [np.empty(sums.shape) for _ in range(3)]
+    for own in (slice(i, i + max(PAIRS // len(values), 1)) for i in range(0, len(values), max(PAIRS // len(values), 1))):
+        apart = values[own, None] - values[None, :]
+        rho, sign = 1 / (1 + np.exp(np.clip(apart, -30, 30))), np.sign(apart)
+        for m, share in zip(pulls, (rho, 1 - rho, rho * (1 - rho))):
+            m[own] = (share * sign) @ sums
+    # of equal scores, those before have the higher discounts
+    each = np.zeros((len(score) + 1, 2 * n))
+    each[1 + rank, of], each[1 + rank, n + of] = 1, discount
+    each = each.cumsum(axis=0)
+    first, last = (np.searchsorted(-score[order], -score, side) for side in ("left", "right"))
+    before, after = each[rank] - each[first], each[last] - each[rank + 1]
+    near = before[:, n:] - after[:, n:] - discount[:, None] * (before[:, :n] - after[:, :n])
+    g = (up * (far(pulls[0]) + near / 2) - down * (far(pulls[1]) + near / 2)).sum(axis=1)
+    h = (both * (far(pulls[2]) + near / 4)).sum(axis=1)
+    return g, np.maximum(h, 0)
 
 
 @dataclass
@@ -89,7 +101,7 @@ def _split(histogram: dict, nodes: list[int], features: int) -> dict:
 def train(rows: DataFrame, query: str, relevance: str, features: list[str], rounds: int = 10) -> Ranker:
     """A ranker from rows of (query, relevance, features).
 
-    Limits are quantiles. A query's candidates are a bounded list and lie in one row, in an order that only their values fix. Each
+    Limits are quantiles. All candidates of a query lie in one row, a byte a feature, in an order that only their values fix. Each
     round, gradients are made query by query, and each level of the tree asks Spark for sums by node, feature and bin, of which a
     task sends one table and from which the driver, whatever the rows, picks the cuts. Rows of a null query or relevance are left out.
     """
